@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import survivors
+from quotemill.llm import matching, survivors
 from quotemill.runtime import table
 
 
+def p1_flights(spark: SparkSession, root: str) -> DataFrame:
+    return matching.match_quotes(table(spark, root, "flight_quotes"), table(spark, root, "airlines"))
+
+
+def p1_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return matching.matched_pairs(p1_flights(spark, root))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return p1_pairs(spark, root).select("quote_id_a", "quote_id_b")
+
+
 def p4_golden(spark: SparkSession, root: str) -> DataFrame:
     return survivors.flight_survivors(*(table(spark, root, t) for t in ("reconciled_flights", "fare_observations", "source_trust")))
 
@@ -61,5 +73,8 @@ steps AS (
 SELECT 'departure' AS field, old, new, count(*) AS n FROM steps WHERE old <> new GROUP BY ALL
 """
 
-QUERIES = {"p4_found": p4_found, "p4_golden": p4_golden, "p4_precedence": p4_precedence}
+QUERIES = {
+    "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_flights": p1_flights,
+    "p4_found": p4_found, "p4_golden": p4_golden, "p4_precedence": p4_precedence,
+}
 SQL = {"p4_found": P4_FOUND_SQL, "p4_precedence": P4_PRECEDENCE_SQL}
