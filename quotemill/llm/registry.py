@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import matching, survivors
+from quotemill.llm import matching, packing, survivors
 from quotemill.runtime import table
 
 
@@ -35,6 +35,29 @@ def p4_precedence(spark: SparkSession, root: str) -> DataFrame:
     return survivors.precedence(rows, survivors.GROUP, ["departure"], "reconciled_at").select("field", "old", "new", "n")
 
 
+def p7_packed(spark: SparkSession, root: str, vocabulary: str = packing.VOCABULARY) -> DataFrame:
+    """Packs of each capacity of pack_sizes on its own, and as pack 0 of all capacities jointly."""
+    sizes = packing.capacities_of(table(spark, root, "pack_sizes"))
+    plans = {pack: [tokens] for pack, tokens in sizes.items()} | ({0: list(sizes.values())} if sizes else {})
+    placed = packing.pack_texts(table(spark, root, "documents"), "doc_id", "text", plans, vocabulary)
+    return placed.withColumnsRenamed({"pack": "pack_id", "id": "doc_id"})
+
+
+def p7_fill(spark: SparkSession, root: str) -> DataFrame:
+    return packing.fill(p7_packed(spark, root).withColumnRenamed("pack_id", "pack"))
+
+
+def p7_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Every document lies whole in every pack: all its pieces, once."""
+    placed = p7_packed(spark, root).groupBy("pack_id", "doc_id").agg(F.min("first_token").alias("first_token"))
+    return placed.select("pack_id", "doc_id", "first_token")
+
+
+P7_DOCUMENTS_SQL = """
+SELECT pack_id, doc_id, 0::BIGINT AS first_token
+FROM documents CROSS JOIN (SELECT pack_id::BIGINT AS pack_id FROM pack_sizes UNION ALL SELECT 0) WHERE doc_id IS NOT NULL
+"""
+
 _GROUPED = """
 WITH base AS (
   SELECT *, regexp_split_to_array(flight_identity_key, '\\s*[|;]\\s*') AS k FROM reconciled_flights),
@@ -76,5 +99,6 @@ SELECT 'departure' AS field, old, new, count(*) AS n FROM steps WHERE old <> new
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_flights": p1_flights,
     "p4_found": p4_found, "p4_golden": p4_golden, "p4_precedence": p4_precedence,
+    "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_documents": p7_documents,
 }
-SQL = {"p4_found": P4_FOUND_SQL, "p4_precedence": P4_PRECEDENCE_SQL}
+SQL = {"p4_found": P4_FOUND_SQL, "p4_precedence": P4_PRECEDENCE_SQL, "p7_documents": P7_DOCUMENTS_SQL}
