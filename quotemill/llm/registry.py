@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import matching, packing, survivors
+from quotemill.llm import leaks, matching, packing, survivors
 from quotemill.runtime import table
 
 
@@ -53,6 +53,21 @@ def p7_documents(spark: SparkSession, root: str) -> DataFrame:
     return placed.select("pack_id", "doc_id", "first_token")
 
 
+def p8_leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return p8_leaks(spark, root).select("doc_id", "item_id")
+
+
+def p8_edited(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold twelve words of an item with at most one character changed."""
+    return leaks.leaked_items(
+        table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text", leaks.LeakSettings(edits=1)
+    ).select("doc_id", "item_id")
+
+
 P7_DOCUMENTS_SQL = """
 SELECT pack_id, doc_id, 0::BIGINT AS first_token
 FROM documents CROSS JOIN (SELECT pack_id::BIGINT AS pack_id FROM pack_sizes UNION ALL SELECT 0) WHERE doc_id IS NOT NULL
@@ -100,5 +115,6 @@ QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_flights": p1_flights,
     "p4_found": p4_found, "p4_golden": p4_golden, "p4_precedence": p4_precedence,
     "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_documents": p7_documents,
+    "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_edited": p8_edited,
 }
 SQL = {"p4_found": P4_FOUND_SQL, "p4_precedence": P4_PRECEDENCE_SQL, "p7_documents": P7_DOCUMENTS_SQL}
