@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import leaks, matching, packing, survivors
+from quotemill.llm import leaks, matching, packing, spans, survivors
 from quotemill.runtime import table
 
 
@@ -68,6 +68,14 @@ def p8_edited(spark: SparkSession, root: str) -> DataFrame:
     ).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return spans.shared_spans(table(spark, root, "documents"), "doc_id", "text").withColumnsRenamed({"a": "doc_id_a", "b": "doc_id_b"})
+
+
+def p9_share(spark: SparkSession, root: str) -> DataFrame:
+    return spans.shared_share(table(spark, root, "documents"), "doc_id", "text")
+
+
 P7_DOCUMENTS_SQL = """
 SELECT pack_id, doc_id, 0::BIGINT AS first_token
 FROM documents CROSS JOIN (SELECT pack_id::BIGINT AS pack_id FROM pack_sizes UNION ALL SELECT 0) WHERE doc_id IS NOT NULL
@@ -116,5 +124,6 @@ QUERIES = {
     "p4_found": p4_found, "p4_golden": p4_golden, "p4_precedence": p4_precedence,
     "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_documents": p7_documents,
     "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_edited": p8_edited,
+    "p9_found": p9_found, "p9_share": p9_share,
 }
 SQL = {"p4_found": P4_FOUND_SQL, "p4_precedence": P4_PRECEDENCE_SQL, "p7_documents": P7_DOCUMENTS_SQL}
