@@ -178,57 +178,66 @@ def candidates(rows: DataFrame, known: DataFrame, rule: Rule, labelled: bool = F
     return found.groupBy("id").agg(F.min("flight").alias("flight"), F.max("flight").alias("other")).where("flight = other").select("id", "flight")
 
 
-def match_quotes(quotes: DataFrame, airlines: DataFrame, smoothing: float = 1.0) -> DataFrame:
+def match_quotes(quotes: DataFrame, airlines: DataFrame, smoothing: float = 1.0, measure: bool = True) -> DataFrame:
     """(quote_id, source, flight, rule, confidence): the flight of every quote that names or resolves to one.
 
     confidence is the measured precision of the rule, (right + s) / (labelled quotes it resolves + 2 s) with s =
-    `smoothing`. Nulls: a quote without id or source is left out; missing attributes only exclude the rules that use
-    them; a quote that no rule resolves has no flight and does not come out. Repeated quotes resolve alike; ties
-    (candidates of several flights) resolve nothing. Empty tables give no rows; extra columns are ignored.
+    `smoothing`; with measure=False it is null and nothing is measured. Nulls: a quote without id or source is left
+    out; missing attributes only exclude the rules that use them; a quote that no rule resolves has no flight and does
+    not come out. Repeated quotes resolve alike; ties (candidates of several flights) resolve nothing. Empty tables
+    give no rows; extra columns are ignored.
+
+    Every step is written to the checkpoint folder, so that no plan holds more than one rule.
     """
     rows = checkpoint(resolved_attributes(quotes, airlines))
     printed = F.col("code").isNotNull() & F.col("number").isNotNull() & F.col("o").isNotNull() & F.col("d").isNotNull() & F.col("day").isNotNull()
-    strong = rows.where(printed)
-    known = checkpoint(flights(strong))
+    known = checkpoint(flights(rows.where(printed)))
     confirmed = known.where("sources > 1")
-    sizes = known.select("flight", "sources").distinct()
-    strong = strong.withColumn("own", flight_key("code")).join(sizes, F.col("own") == F.col("flight")).drop("flight")
+    sizes = known.select(F.col("flight").alias("own"), "sources").distinct()
+    strong = checkpoint(rows.where(printed).withColumn("own", flight_key("code")).join(sizes, "own"))
     labelled, single = strong.where("sources > 1"), strong.where("sources = 1")
-    done = labelled.select("id", F.col("own").alias("flight"), F.lit("printed").alias("rule"))
-    agree = labelled.where("name is not null").select(F.explode(F.array(F.lit("printed"), F.lit("printed once"), F.lit("named"))).alias("rule"), (F.col("name") == F.col("code")).cast("double").alias("right"))
-    tested = [agree]
+    done = [(labelled.select("id", F.col("own").alias("flight")), "printed")]
+
+    def precision(hits: DataFrame, is_right: Column) -> float:
+        """Of the labelled quotes that a rule resolves; one row comes to the driver."""
+        r = hits.agg(F.sum(is_right.cast("double")).alias("r"), F.count("*").alias("n")).first()
+        return ((r.r or 0.0) + smoothing) / (r.n + 2 * smoothing)
+
+    confidence: dict[str, float] = {}
+    if measure:
+        agree = precision(labelled.where("name is not null"), F.col("name") == F.col("code"))
+        confidence |= {"printed": agree, "printed once": agree, "named": agree}
 
     # flights of one source: misprints of confirmed flights, then of each other
     for rule in (r for r in RULES if r.misprint):
         fixed = checkpoint(candidates(single, confirmed, rule))
-        done = done.unionByName(fixed.withColumn("rule", F.lit(rule.name)))
-        single = single.join(fixed.select("id"), "id", "left_anti")
-        wrong = candidates(labelled, confirmed, rule, labelled=True).select("id", F.lit(0.0).alias("right"))
-        tested.append(labelled.select("id").join(wrong, "id", "left").select(F.lit(rule.name).alias("rule"), F.coalesce("right", F.lit(1.0)).alias("right")))
-    single = checkpoint(single)
-    lone = known.join(single.select(F.col("own").alias("flight")).distinct(), "flight", "left_semi")
+        done.append((fixed, rule.name))
+        single = checkpoint(single.join(fixed.select("id"), "id", "left_anti"))
+        if measure:  # another flight so near a labelled one would have been taken for its misprint
+            wrong = candidates(labelled, confirmed, rule, labelled=True).select("id", F.lit(True).alias("wrong"))
+            confidence[rule.name] = precision(labelled.select("id").join(wrong, "id", "left"), F.col("wrong").isNull())
+    lone = checkpoint(known.join(single.select(F.col("own").alias("flight")).distinct(), "flight", "left_semi"))
     twins = candidates(single, lone, next(r for r in RULES if r.misprint)).withColumnRenamed("flight", "twin")
-    lone_done = single.join(twins, "id", "left").select("id", F.least("own", F.coalesce("twin", "own")).alias("flight"), F.lit("printed once").alias("rule"))
-    done = done.unionByName(lone_done)
-    known = checkpoint(confirmed.unionByName(lone))
+    done.append((checkpoint(single.join(twins, "id", "left").select("id", F.least("own", F.coalesce("twin", "own")).alias("flight"))), "printed once"))
+    known = confirmed.unionByName(lone)
 
     # quotes without a printed carrier or number
     left = rows.where(~printed).withColumn("own", F.lit(None).cast("string"))
     for rule in RULES:
         found = checkpoint(candidates(left, known, rule))
-        done = done.unionByName(found.withColumn("rule", F.lit(rule.name)))
-        left = left.join(found.select("id"), "id", "left_anti")
-        if rule.number != "near":
+        done.append((found, rule.name))
+        left = checkpoint(left.join(found.select("id"), "id", "left_anti"))
+        if measure and rule.number != "near":
             test = candidates(labelled, known, rule, labelled=True).join(labelled.select("id", "own"), "id")
-            tested.append(test.select(F.lit(rule.name).alias("rule"), (F.col("flight") == F.col("own")).cast("double").alias("right")))
+            confidence[rule.name] = precision(test, F.col("flight") == F.col("own"))
     # what is left names its own flight by the airline and a number
     named = left.where("name is not null and number is not null and o is not null and d is not null and day is not null")
-    done = done.unionByName(named.select("id", flight_key("name").alias("flight"), F.lit("named").alias("rule")))
+    done.append((named.select("id", flight_key("name").alias("flight")), "named"))
 
-    counts = [t.groupBy("rule").agg(F.sum("right").alias("r"), F.count("*").alias("n")) for t in tested]
-    precision = reduce(DataFrame.unionByName, counts).select("rule", ((F.col("r") + smoothing) / (F.col("n") + 2 * smoothing)).alias("confidence"))
-    out = done.join(F.broadcast(precision), "rule", "left")  # at most one row per rule
-    return out.join(rows.select("id", "source"), "id").select(F.col("id").alias("quote_id"), "source", "flight", "rule", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
+    resolved = reduce(DataFrame.unionByName, (
+        d.select("id", "flight", F.lit(name).alias("rule"), F.lit(confidence.get(name, 0.5) if measure else None).cast("double").alias("confidence")) for d, name in done
+    ))
+    return resolved.join(rows.select("id", "source"), "id").select(F.col("id").alias("quote_id"), "source", "flight", "rule", "confidence")
 
 
 def matched_pairs(matched: DataFrame) -> DataFrame:

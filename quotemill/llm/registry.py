@@ -18,7 +18,8 @@ def p1_pairs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    return p1_pairs(spark, root).select("quote_id_a", "quote_id_b")
+    flights = matching.match_quotes(table(spark, root, "flight_quotes"), table(spark, root, "airlines"), measure=False)
+    return matching.matched_pairs(flights).select("quote_id_a", "quote_id_b")
 
 
 def p4_golden(spark: SparkSession, root: str) -> DataFrame:
