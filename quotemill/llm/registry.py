@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import leaks, matching, packing, spans, survivors
+from quotemill.llm import digests, leaks, matching, packing, spans, survivors
 from quotemill.runtime import table
 
 
@@ -36,6 +36,28 @@ def p4_precedence(spark: SparkSession, root: str) -> DataFrame:
     return survivors.precedence(rows, survivors.GROUP, ["departure"], "reconciled_at").select("field", "old", "new", "n")
 
 
+def p5_percentiles(spark: SparkSession, root: str) -> DataFrame:
+    fares = table(spark, root, "fare_observations")
+    return digests.certified_percentiles(fares, ["route_id", "window_id"], "total_fare", part=F.to_date("observed_at"))
+
+
+def p5_digests(spark: SparkSession, root: str) -> DataFrame:
+    """The mergeable form: one digest per route, window and day of observation."""
+    fares = table(spark, root, "fare_observations")
+    return digests.build(fares, ["route_id", "window_id"], "total_fare", F.to_date("observed_at")).withColumnRenamed("part", "day")
+
+
+def p5_certified(spark: SparkSession, root: str) -> DataFrame:
+    return p5_percentiles(spark, root).select("route_id", "window_id", "quantile", "n", "certified")
+
+
+P5_CERTIFIED_SQL = """
+SELECT route_id, window_id, quantile::DOUBLE AS quantile, count(total_fare) AS n, TRUE AS certified
+FROM fare_observations CROSS JOIN (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS quantile)
+WHERE total_fare IS NOT NULL GROUP BY ALL
+"""
+
+
 def p7_packed(spark: SparkSession, root: str, vocabulary: str = packing.VOCABULARY) -> DataFrame:
     """Packs of each capacity of pack_sizes on its own, and as pack 0 of all capacities jointly."""
     sizes = packing.capacities_of(table(spark, root, "pack_sizes"))
@@ -123,8 +145,9 @@ SELECT 'departure' AS field, old, new, count(*) AS n FROM steps WHERE old <> new
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_flights": p1_flights,
     "p4_found": p4_found, "p4_golden": p4_golden, "p4_precedence": p4_precedence,
+    "p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p5_certified": p5_certified,
     "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_documents": p7_documents,
     "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_edited": p8_edited,
     "p9_found": p9_found, "p9_share": p9_share,
 }
-SQL = {"p4_found": P4_FOUND_SQL, "p4_precedence": P4_PRECEDENCE_SQL, "p7_documents": P7_DOCUMENTS_SQL}
+SQL = {"p4_found": P4_FOUND_SQL, "p4_precedence": P4_PRECEDENCE_SQL, "p5_certified": P5_CERTIFIED_SQL, "p7_documents": P7_DOCUMENTS_SQL}
