@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import digests, leaks, matching, packing, spans, survivors
+from quotemill.llm import digests, leaks, matching, packing, residue, spans, survivors
 from quotemill.runtime import table
 
 
@@ -58,6 +58,14 @@ WHERE total_fare IS NOT NULL GROUP BY ALL
 """
 
 
+def p6_residue(spark: SparkSession, root: str) -> DataFrame:
+    return residue.residue_records(table(spark, root, "diagnostic_results"), "result_id", "page_title", "alert_texts")
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return p6_residue(spark, root).select("result_id")
+
+
 def p7_packed(spark: SparkSession, root: str, vocabulary: str = packing.VOCABULARY) -> DataFrame:
     """Packs of each capacity of pack_sizes on its own, and as pack 0 of all capacities jointly."""
     sizes = packing.capacities_of(table(spark, root, "pack_sizes"))
@@ -146,6 +154,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_flights": p1_flights,
     "p4_found": p4_found, "p4_golden": p4_golden, "p4_precedence": p4_precedence,
     "p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p5_certified": p5_certified,
+    "p6_found": p6_found, "p6_residue": p6_residue,
     "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_documents": p7_documents,
     "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_edited": p8_edited,
     "p9_found": p9_found, "p9_share": p9_share,
