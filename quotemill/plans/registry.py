@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.plans import series
+from quotemill.plans import fares, series
 
-MODULES = (series,)
+MODULES = (series, fares)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return series.p3_rolling(spark, root)
+    return fares.route_summary(spark, root)
