@@ -65,13 +65,20 @@ EXEMPLARS = (
 )
 
 
-def tokens_of(text: Column) -> Column:
-    """array<string>: the tokens of a text, its first and last also as tokens of the ends; null stays null."""
+def with_tokens(texts: DataFrame, text: str, name: str = "t") -> DataFrame:
+    """texts with the array of a text's tokens, its first and last also as tokens of the ends; null stays null."""
+    marked = F.col(text)
     for pattern, marker in MARKERS:
-        text = F.regexp_replace(text, pattern, marker)
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    first, last = F.concat(F.lit(BEGIN), F.get(words, F.lit(0))), F.concat(F.lit(END), F.get(words, F.size(words) - 1))
-    return F.when(F.size(words) > 0, F.concat(F.array(first), words, F.array(last))).otherwise(words)
+        marked = F.regexp_replace(marked, pattern, marker)
+    # a column of its own: used several times below, it would else be computed as often
+    words = texts.withColumn("_words", F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0)))
+    ends = F.concat(F.lit(BEGIN), F.get("_words", F.lit(0))), F.concat(F.lit(END), F.get("_words", F.size("_words") - 1))
+    return words.withColumn(name, F.array_compact(F.concat(F.array(ends[0]), "_words", F.array(ends[1])))).drop("_words")
+
+
+def _among(tokens: str, words: Sequence[str]) -> Column:
+    """The distinct tokens that are among words: one probe of a fixed hash set each."""
+    return F.array_distinct(F.filter(tokens, lambda t: t.isin(list(words))))
 
 
 def exemplar_tokens(exemplar: str) -> list[str]:
@@ -93,12 +100,12 @@ def residue_scores(texts: DataFrame, key: str, text: str, exemplars: Sequence[st
     spark = texts.sparkSession
     parsed = {" ".join(exemplar_tokens(x)): Counter(exemplar_tokens(x)) for x in exemplars}
     vocabulary = sorted({t for x in parsed.values() for t in x})
-    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), tokens_of(F.col(text)).alias("t"))
+    rows = with_tokens(texts.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("_x")), "_x").drop("_x")
     if not vocabulary:
         return rows.select(F.col("k").alias(key), F.lit("").alias("exemplar"), F.lit(0.0).alias("score")).limit(0)
     # document frequencies over all texts, of the exemplars' tokens only
     every = F.lit("every text")
-    seen = rows.select(F.explode(F.array_append(F.array_intersect("t", F.array(*[F.lit(v) for v in vocabulary])), every)).alias("w"))
+    seen = rows.select(F.explode(F.array_append(_among("t", vocabulary), every)).alias("w"))
     counted = {r.w: r.n for r in seen.groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most one row per exemplar token
     total = counted.get("every text", 0)
     idf = {v: log((total + 1) / (counted.get(v, 0) + 1)) + 1 for v in vocabulary}
@@ -116,8 +123,8 @@ def residue_scores(texts: DataFrame, key: str, text: str, exemplars: Sequence[st
                 break
     asked = spark.createDataFrame(index, "w string, exemplar string")
     about = spark.createDataFrame(known, "exemplar string, ws array<string>, times array<int>, idfs array<double>, width int")
-    keys = F.array(*[F.lit(t) for t in sorted({t for t, _ in index})])
-    hits = rows.withColumn("w", F.array_intersect("t", keys)).where(F.size("w") > 0).select("k", "t", F.explode("w").alias("w"))
+    # no filter between: it would be pushed down and read every text twice
+    hits = rows.select("k", "t", F.explode(_among("t", sorted({t for t, _ in index}))).alias("w"))
     # both tables are as small as the list of exemplars
     pairs = hits.join(F.broadcast(asked), "w").select("k", "t", "exemplar").join(F.broadcast(about), "exemplar")
 
