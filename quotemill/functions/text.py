@@ -74,7 +74,11 @@ DATE_FORMS = ((r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", "yyyy-MM-dd"), (r"\b[0-9]{1,2}
 
 def dates_in(c: Column | str) -> Column:
     """array<date>: the dates rendered in a text, form by form in order, each once."""
-    found = [F.transform(F.regexp_extract_all(_c(c), F.lit(p), F.lit(0)), lambda x, f=f: F.try_to_date(x, f)) for p, f in DATE_FORMS]
+
+    def of(pattern: str, form: str) -> Column:
+        return F.transform(F.regexp_extract_all(_c(c), F.lit(pattern), F.lit(0)), lambda x: F.try_to_date(x, form))
+
+    found = [of(*x) for x in DATE_FORMS]
     return F.array_distinct(F.filter(F.concat(*found), lambda d: d.isNotNull()))
 
 
