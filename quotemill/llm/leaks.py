@@ -31,7 +31,7 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class LeakSettings:
     words: int = 12  #: words in a row that make a passage
-    q: int = 8  #: characters of a q-gram
+    q: int = 11  #: characters of a q-gram
     edits: int = 0  #: edit budget of a passage
     block_chars: int = 2_000_000  #: characters of items that a task holds at once
     bits: int = 22  #: size of the first look-up table, as a power of two
@@ -61,34 +61,35 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def aligned(a: str, b: str, budget: int) -> bool:
-    """Whether a occurs in b (its ends free) with at most `budget` edits: dynamic programming in a band of cells."""
-    if budget == 0:
-        return a in b
-    previous = [0] * (len(b) + 1)
-    live = range(len(b) + 1)
+def aligned(a: str, b: str, budget: int, reach: int | None = None) -> bool:
+    """Whether a occurs in b with at most `budget` edits, beginning within b's first `reach` characters (None: anywhere).
+
+    Dynamic programming over the band of diagonals that those beginnings and edits allow.
+    """
+    if reach is None:
+        reach = len(b)
+    if a in b[: reach + len(a)]:
+        return True
+    if not budget:
+        return False
+    over = budget + 1
+    lowest = -budget  # cell d of row i is column i + lowest + d
+    width = reach + 2 * budget + 1
+    row = [0 if 0 <= d + lowest <= min(reach, len(b)) else over for d in range(width)]
     for i, ch in enumerate(a, 1):
-        current = {}
-        for j in live:
-            for k in (j, j + 1):
-                if k > len(b) or k in current:
-                    continue
-                best = previous[k] + 1 if k < len(previous) else budget + 1
-                if k:
-                    best = min(best, previous[k - 1] + (ch != b[k - 1]), current.get(k - 1, budget + 1) + 1)
-                if best <= budget:
-                    current[k] = best
-        row = [budget + 1] * (len(b) + 1)
-        for k, v in current.items():
-            row[k] = v
-        for k in range(1, len(b) + 1):
-            if row[k - 1] + 1 < row[k]:
-                row[k] = row[k - 1] + 1
-        previous = row
-        live = [k for k, v in enumerate(row) if v <= budget]
-        if not live:
+        new = [over] * width
+        for d in range(width):
+            j = i + lowest + d
+            if not 0 <= j <= len(b):
+                continue
+            best = row[d + 1] + 1 if d + 1 < width else over
+            if j:
+                best = min(best, row[d] + (ch != b[j - 1]), new[d - 1] + 1 if d else over)
+            new[d] = min(best, over)
+        row = new
+        if min(row) > budget:
             return False
-    return True
+    return min(row) <= budget
 
 
 class Index:
@@ -107,6 +108,7 @@ class Index:
             shortest = int(passages.min()) if len(passages) else 0
             self.bound.append(max(1, shortest - cfg.q + 1 - cfg.q * cfg.edits))
             self.widest.append(int(passages.max()) if len(passages) else 0)
+        self.bounds = np.array(self.bound, dtype=np.int64)
         hashes, item, place = [], [], []
         for n, text in enumerate(self.texts):
             if self.widest[n]:
@@ -122,8 +124,8 @@ class Index:
         self.table = np.zeros(1 << cfg.bits, dtype=bool)
         self.table[(self.hash >> np.uint64(64 - cfg.bits)).astype(np.int64)] = True
 
-    def regions(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, first, last) hit positions of the bands of a text that reach the item's bound."""
+    def regions(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, first, last, diagonal) of the bands of a text that reach the item's bound: hit positions, least diagonal."""
         cfg = self.cfg
         h = gram_hashes(codes, cfg.q)
         at = np.nonzero(self.table[(h >> np.uint64(64 - cfg.bits)).astype(np.int64)])[0]
@@ -141,20 +143,17 @@ class Index:
         for shift in (0, 1) if cfg.edits else (0,):
             band = np.floor_divide(diagonal + shift * width, 2 * width) if cfg.edits else diagonal
             order = np.lexsort((pos, band, item))
-            i, b, p = item[order], band[order], pos[order]
+            i, b, p, least = item[order], band[order], pos[order], diagonal[order]
             new = np.concatenate([[True], (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
             start = np.nonzero(new)[0]
             end = np.concatenate([start[1:], [len(i)]])
-            for s, e in zip(start.tolist(), end.tolist()):
-                if e - s >= self.bound[i[s]]:
-                    yield int(i[s]), int(p[s]), int(p[e - 1])
+            enough = end - start >= self.bounds[i[start]]
+            for s, e in zip(start[enough].tolist(), end[enough].tolist()):
+                yield int(i[s]), int(p[s]), int(p[e - 1]), int(least[s:e].min())
 
-    def holds(self, item: int, words: str) -> int:
-        """The most words in a row of an item that a region holds, if at least cfg.words; with edits: cfg.words."""
+    def longest(self, item: int, words: str) -> int:
+        """The most words in a row of an item that a region holds, if at least cfg.words."""
         cfg, own = self.cfg, self.tokens[item]
-        if cfg.edits:
-            ok = any(aligned(" ".join(own[k : k + cfg.words]), words, cfg.edits) for k in range(len(own) - cfg.words + 1))
-            return cfg.words if ok else 0
         padded, best = f" {words} ", 0
         for k in range(len(own) - cfg.words + 1):
             n = max(cfg.words, best + 1)
@@ -163,15 +162,29 @@ class Index:
                 n += 1
         return best
 
+    def nearly(self, item: int, text: str, diagonal: int) -> int:
+        """cfg.words if a passage of an item lies in the band of a text within the edit budget, else 0."""
+        cfg, own, at = self.cfg, self.tokens[item], 0
+        for k in range(len(own) - cfg.words + 1):
+            lo = max(0, at + diagonal - cfg.edits)
+            passage = " ".join(own[k : k + cfg.words])
+            if aligned(passage, text[lo : max(0, at + diagonal) + len(passage) + 4 * cfg.edits + 2], cfg.edits, 4 * cfg.edits + 2):
+                return cfg.words
+            at += len(own[k]) + 1
+        return 0
+
     def search(self, text: str) -> dict[int, int]:
         found: dict[int, int] = {}
         if not len(self.hash) or len(text) < self.cfg.q:
             return found
-        for item, first, last in self.regions(codes_of(text)):
-            reach = self.widest[item] + self.cfg.edits + 1
-            lo = text.rfind(" ", 0, max(0, first - reach)) + 1
-            hi = text.find(" ", min(len(text), last + self.cfg.q + reach))
-            n = self.holds(item, text[lo : hi if hi >= 0 else len(text)])
+        for item, first, last, diagonal in self.regions(codes_of(text)):
+            if self.cfg.edits:
+                n = self.nearly(item, text, diagonal)
+            else:
+                reach = self.widest[item] + 1
+                lo = text.rfind(" ", 0, max(0, first - reach)) + 1
+                hi = text.find(" ", min(len(text), last + self.cfg.q + reach))
+                n = self.longest(item, text[lo : hi if hi >= 0 else len(text)])
             if n > found.get(item, 0):
                 found[item] = n
         return found

@@ -59,4 +59,5 @@ def test_parts():
     h = gram_hashes(codes_of("abcdefgh" * 3), 5)
     assert len(h) == 20 and np.array_equal(h[:8], h[8:16]) and len(set(h[:8].tolist())) == 8
     assert len(gram_hashes(codes_of("abc"), 5)) == 0
+    assert aligned("hello", "xhelo now", 1, 2) and not aligned("hello", "xxxxxhelo", 1, 2) and aligned("hello", "hxello", 1, 1) and not aligned("hello", "", 4)
     assert aligned("hello", "say helo now", 1) and not aligned("hello", "say heo now", 1) and aligned("abc", "abc", 0)
