@@ -42,9 +42,10 @@ def source_scatter(readings: DataFrame) -> DataFrame:
     """(source, scatter): robust standard deviation of log fares around their level, by source.
 
     From the median size of the changes between neighbouring readings of a series, without the unchanged ones:
-    a source that keeps its price for days would else have none.
+    a source that keeps its price for days would else have none. Series are cut every 30 days, so that no task sorts
+    an unbounded one; only the change across a cut is not counted.
     """
-    w = Window.partitionBy("series").orderBy("at")
+    w = Window.partitionBy("series", F.floor(F.col("at") / (30 * 86_400_000_000))).orderBy("at", "id")
     step = F.abs(F.ln("fare") - F.ln(F.lag("fare").over(w)))
     steps = readings.where("fare > 0").select("source", step.alias("step")).where("step > 1e-9")
     return steps.groupBy("source").agg((F.percentile_approx("step", 0.5, 1000) / (0.6745 * 2**0.5)).alias("scatter"))
