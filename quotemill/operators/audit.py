@@ -72,13 +72,13 @@ def price_delta(observations: DataFrame, keys: Sequence[str] = ("route_id", "tra
     return least.groupBy(*keys).agg(F.count("*").alias("sources"), (F.max("fare") - F.min("fare")).cast("double").alias("delta")).where("sources > 1")
 
 
-def window_premium(observations: DataFrame, near: int = 1, far: int = 2) -> DataFrame:
+def window_premium(observations: DataFrame, near: int = 1, far: int = 2, digits: int = 4) -> DataFrame:
     """Per route: mean of the runs' mean fares in two windows and the premium of the near one in percent, 0 without a far one."""
     task = observations.where(F.col("total_fare") > 0).groupBy("route_id", "window_id", "run_id").agg(F.avg(F.col("total_fare").cast("double")).alias("fare"))
     mean = lambda w: F.avg(F.when(F.col("window_id") == w, F.col("fare")))
     both = task.groupBy("route_id").agg(mean(near).alias("near_fare"), mean(far).alias("far_fare"))
     premium = F.when(F.coalesce("far_fare", F.lit(0.0)) == 0, 0.0).otherwise((F.col("near_fare") - F.col("far_fare")) / F.col("far_fare") * 100)
-    return both.select("route_id", F.round("near_fare", 4).alias("near_fare"), F.round("far_fare", 4).alias("far_fare"), F.round(premium, 4).alias("premium_percent"))
+    return both.select("route_id", F.round("near_fare", digits).alias("near_fare"), F.round("far_fare", digits).alias("far_fare"), F.round(premium, digits).alias("premium_percent"))
 
 
 def source_rollup(observations: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ flights AS (
   FROM usable WHERE coalesce(travel_date = od + td::INT, TRUE) GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
 summary AS (
   SELECT od AS observation_date, route_id, window_id, min(travel_date) AS target_travel_date, count(*) AS observations_count, round(min(x), 4) AS min_fare, round(median(x), 4) AS median_fare,
-    round(avg(x), 4) AS mean_fare, round(exp(avg(ln(x))), 4) AS geometric_mean_fare, round(exp(avg(ln(x))), 4) AS representative_fare, count(*) < 3 AS is_imputed
+    round(avg(x), 8) AS mean_fare, round(exp(avg(ln(x))), 4) AS geometric_mean_fare, round(exp(avg(ln(x))), 4) AS representative_fare, count(*) < 3 AS is_imputed
   FROM flights GROUP BY 1, 2, 3 HAVING count(DISTINCT travel_date) = 1)
 """
 STORED_CTE = f"""
@@ -187,7 +187,9 @@ national AS (SELECT index_date, sum(index_value * weight::DOUBLE) / sum(weight::
 
 @query(f"WITH {SUMMARY_CTE} SELECT * FROM summary")
 def route_summary(spark: SparkSession, root: str) -> DataFrame:
-    return index.daily_summary(fares(spark, root), zone=ZONE, digits=4)
+    out = index.daily_summary(fares(spark, root), zone=ZONE, digits=FINE)
+    # a mean of cents has exact ties at four digits
+    return out.withColumns({c: F.round(c, 8 if c == "mean_fare" else 4) for c in ("min_fare", "median_fare", "mean_fare", "geometric_mean_fare", "representative_fare")})
 
 
 def stored_summary(spark: SparkSession, root: str) -> DataFrame:
@@ -373,10 +375,9 @@ def price_delta(spark: SparkSession, root: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT route_id, window_id, run_id, avg(total_fare::DOUBLE) AS f FROM fare_observations WHERE total_fare > 0 AND total_fare < 1000000 GROUP BY ALL),
 b AS (SELECT route_id, avg(f) FILTER (WHERE window_id = 1) AS n, avg(f) FILTER (WHERE window_id = 2) AS r FROM t GROUP BY 1)
-SELECT route_id, round(n, 3) AS near_fare, round(r, 3) AS far_fare, round(CASE WHEN coalesce(r, 0) = 0 THEN 0 ELSE (n - r) / r * 100 END, 3) AS premium_percent FROM b""")
+SELECT route_id, round(n, 7) AS near_fare, round(r, 7) AS far_fare, round(CASE WHEN coalesce(r, 0) = 0 THEN 0 ELSE (n - r) / r * 100 END, 7) AS premium_percent FROM b""")
 def window_premium(spark: SparkSession, root: str) -> DataFrame:
-    out = audit.window_premium(fares(spark, root).where("total_fare < 1000000"))
-    return out.select("route_id", *[F.round(c, 3).alias(c) for c in ("near_fare", "far_fare", "premium_percent")])
+    return audit.window_premium(fares(spark, root).where("total_fare < 1000000"), digits=7)
 
 
 @query("""SELECT s.source_type, s.source_code, count(*) AS rows, count(DISTINCT flight_number) AS flights, grouping_id(s.source_type, s.source_code)::BIGINT AS level
