@@ -101,3 +101,31 @@ def local_date(c: Column | str, zone: str = "UTC") -> Column:
 
 def source_code(c: Column | str) -> Column:
     return F.regexp_replace(F.upper(F.trim(_c(c))), r"\s+", "_")
+
+
+#: Phrases of pages without flights and of errors that a second attempt may cure (fixed values of the data).
+NO_INVENTORY = ("no flights", "no direct flights", "no results", "sold out", "not available", "select another date", "not operating", "modify search")
+TRANSIENT = ("timeout", "timed out", "connection reset", "net::", "too many requests", "temporarily unavailable", "did not respond", "gateway")
+
+
+def mentions(c: Column | str, phrases: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the phrases, in any case; null holds none."""
+    low = F.lower(_c(c))
+    found = F.lit(False)
+    for phrase in phrases:
+        found = found | F.contains(low, F.lit(phrase))
+    return F.coalesce(found, F.lit(False))
+
+
+def error_category(c: Column | str) -> Column:
+    low = F.lower(_c(c))
+    return F.when(F.contains(low, F.lit("net::")), "NETWORK").when(low.rlike("time[d ]?[ -]?out"), "TIMEOUT").when(F.coalesce(low, F.lit("")) == "", None).otherwise("PAGE")
+
+
+def names_place(text: Column | str, code: Column | str) -> Column:
+    """Whether a text names a place code as a whole word."""
+    return F.coalesce(F.regexp_like(F.upper(_c(text)), F.concat(F.lit(r"\b"), F.upper(_c(code)), F.lit(r"\b"))), F.lit(False))
+
+
+def search_url(host: Column, origin: Column, destination: Column, day: Column) -> Column:
+    return F.format_string("https://%s/search?from=%s&to=%s&date=%s", host, origin, destination, F.date_format(day, "yyyy-MM-dd"))

@@ -106,6 +106,33 @@ def day_on_day(summary: DataFrame) -> DataFrame:
     return summary.select("route_id", "window_id", "observation_date", "representative_fare", F.round(change, 4).alias("change_percent"))
 
 
+def modified_z(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """df with modified_z = 0.6745 (x - median) / MAD of its keys; null where the MAD is 0. Two aggregations, no window."""
+    x = F.col(value).cast("double")
+    named = lambda d, *cols: d.select(*[F.col(k).alias(f"_{k}") for k in keys], *cols)
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    drop = [f"_{k}" for k in keys]
+    medians = named(df.groupBy(*keys).agg(F.median(x).alias("_m")), "_m")
+    centred = df.join(medians, on).drop(*drop)
+    mads = named(centred.groupBy(*keys).agg(F.median(F.abs(x - F.col("_m"))).alias("_d")), "_d")
+    return centred.join(mads, on).withColumn("modified_z", F.when(F.col("_d") > 0, 0.6745 * (x - F.col("_m")) / F.col("_d"))).drop("_m", "_d", *drop)
+
+
+def disagreements(runs: DataFrame, observations: DataFrame) -> DataFrame:
+    """Observations whose source or time does not agree with their run; null sources of a run agree with any."""
+    r = runs.select("run_id", F.col("source_id").alias("run_source"), "started_at", F.col("completed_at"))
+    differs = (F.col("data_source_id") != F.col("run_source")) | (F.col("observed_at") < F.col("started_at")) | (F.col("observed_at") > F.col("completed_at"))
+    return observations.join(r, "run_id").where(differs)
+
+
+def representative_groups(df: DataFrame, keys: Sequence[str], members: str) -> DataFrame:
+    """Sorted members of every group whose keys are all given; groups without a key are skipped."""
+    known = df
+    for k in keys:
+        known = known.where(F.col(k).isNotNull() & (F.col(k).cast("string") != ""))
+    return known.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_set(members)).alias("members"))
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A report table of at most `most` rows; more is an error, not a truncation."""
     rows = df.limit(most + 1).collect()

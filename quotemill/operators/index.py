@@ -42,7 +42,9 @@ def daily_summary(df: DataFrame, policy: str = "MIN", metric: str = "GEOMETRIC",
     Cohorts with several travel dates are left out. is_imputed says that there are fewer than `least` flights.
     """
     cohort = ["observation_date", "route_id", "window_id"]
-    flights = reconcile(usable(df, zone), policy, ["observation_date", "window_id"]).withColumn("x", F.col("reconciled_fare").cast("double"))
+    # the cohort is part of the flight's key: partitioned by it once, both groupings need no further shuffle
+    rows = usable(df, zone).repartition(*cohort)
+    flights = reconcile(rows, policy, ["observation_date", "window_id"]).withColumn("x", F.col("reconciled_fare").cast("double"))
     stats = flights.groupBy(*cohort).agg(
         F.min("travel_date").alias("target_travel_date"), F.max("travel_date").alias("_last"), F.count("*").alias("observations_count"), F.min("x").alias("min_fare"),
         F.median("x").alias("median_fare"), F.avg("x").alias("mean_fare"), geometric_mean("x").alias("geometric_mean_fare"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quotemill.functions import text as X
 from quotemill.operators import audit, cleaning, dimensions, index, merge
 from quotemill.operators.reconcile import reconcile
-from quotemill.runtime import broadcast_if_small, table
+from quotemill.runtime import bounded_rows, broadcast_if_small, table
 
 #: The base period of the test tables ends with June 2026.
 BASE_END = "2026-07-01"
@@ -481,3 +481,93 @@ def merged_summaries(spark: SparkSession, root: str) -> DataFrame:
     first = rows.groupBy(*keys).agg(F.min("summary_id").alias("summary_id"))
     last = rows.groupBy(*keys).agg(F.max("summary_id").alias("summary_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     return merge.merge_by_key(first, last, keys)
+
+
+# --- further reports -----------------------------------------------------------------------------------------------------
+
+@query("""WITH f AS (SELECT *, total_fare::DOUBLE AS x FROM fare_observations WHERE total_fare > 0), s AS (SELECT route_id, window_id, quantile_cont(x, 0.5) AS m, mad(x) AS d FROM f GROUP BY ALL)
+SELECT observation_id, CASE WHEN d > 0 THEN round(0.6745 * (x - m) / d, 6) END AS modified_z FROM f JOIN s USING (route_id, window_id)""")
+def modified_z(spark: SparkSession, root: str) -> DataFrame:
+    return audit.modified_z(fares(spark, root).where("total_fare > 0"), ["route_id", "window_id"], "total_fare").select("observation_id", F.round("modified_z", 6).alias("modified_z"))
+
+
+@query(f"WITH {AUDIT_CTE} SELECT observation_id, run_id, data_source_id FROM fare_observations f JOIN modes m USING (run_id) WHERE f.data_source_id <> m.source_id")
+def run_disagreements(spark: SparkSession, root: str) -> DataFrame:
+    rows = fares(spark, root)
+    return audit.disagreements(audit.runs_of(rows), rows).select("observation_id", "run_id", "data_source_id")
+
+
+@query("""SELECT run_id, floor(epoch(max(created_at)))::BIGINT - floor(epoch(min(observed_at)))::BIGINT AS seconds FROM fare_observations GROUP BY run_id ORDER BY seconds DESC, run_id LIMIT 5""")
+def slowest_runs(spark: SparkSession, root: str) -> DataFrame:
+    return dimensions.top_by(audited(spark, root).select("run_id", "seconds"), "seconds", "run_id", 5)
+
+
+@query("""SELECT route_id, window_id, count(*) AS n FROM fare_observations GROUP BY ALL HAVING count(*) > 0 AND count(*) < 20""")
+def thin_cells(spark: SparkSession, root: str) -> DataFrame:
+    return fares(spark, root).groupBy("route_id", "window_id").agg(F.count("*").alias("n")).where("n > 0 and n < 20")
+
+
+@query("""SELECT (SELECT count(*) FROM fare_observations) AS observations, (SELECT count(DISTINCT run_id) FROM fare_observations) AS runs, (SELECT count(*) FROM flight_quotes) AS quotes, (SELECT coalesce(max(summary_id), 0) FROM route_daily_summary) AS last_summary""")
+def scalar_totals(spark: SparkSession, root: str) -> DataFrame:
+    one = fares(spark, root).agg(F.count("*").alias("observations"), F.count_distinct("run_id").alias("runs"))
+    two = table(spark, root, "flight_quotes").agg(F.count("*").alias("quotes"))
+    three = table(spark, root, "route_daily_summary").agg(F.coalesce(F.max("summary_id"), F.lit(0)).alias("last_summary"))
+    return one.crossJoin(two).crossJoin(three)  # one row each
+
+
+@query("""SELECT fingerprint_hash, route_id, count(*) AS n, list_sort(list_distinct(list(run_id))) AS members FROM fare_observations WHERE fingerprint_hash IS NOT NULL AND fingerprint_hash <> '' AND route_id IS NOT NULL GROUP BY ALL""")
+def representative_groups(spark: SparkSession, root: str) -> DataFrame:
+    return audit.representative_groups(fares(spark, root), ["fingerprint_hash", "route_id"], "run_id")
+
+
+_PHRASES = lambda c, phrases: "(" + " OR ".join(f"contains(lower({c}), '{p}')" for p in phrases) + ")"
+
+
+@query(f"""WITH t AS (SELECT result_id, page_title AS t FROM diagnostic_results UNION ALL SELECT result_id, unnest(alert_texts) FROM diagnostic_results)
+SELECT result_id, coalesce(bool_or({_PHRASES('t', X.NO_INVENTORY)}), FALSE) AS no_inventory, coalesce(bool_or({_PHRASES('t', X.TRANSIENT)}), FALSE) AS transient FROM t GROUP BY 1""")
+def page_states(spark: SparkSession, root: str) -> DataFrame:
+    texts = F.concat(F.array("page_title"), F.coalesce("alert_texts", F.array().cast("array<string>")))
+    has = lambda phrases: F.exists(texts, lambda t: X.mentions(t, phrases))
+    return table(spark, root, "diagnostic_results").select("result_id", F.coalesce(has(X.NO_INVENTORY), F.lit(False)).alias("no_inventory"), F.coalesce(has(X.TRANSIENT), F.lit(False)).alias("transient"))
+
+
+@query("""SELECT result_id, coalesce(regexp_matches(upper(page_title), '\\b' || substr(route_code, 1, 3) || '\\b') AND regexp_matches(upper(page_title), '\\b' || substr(route_code, 5, 3) || '\\b'), FALSE) AS names_route,
+  'https://' || split_part(split_part(final_url, '//', 2), '/', 1) || '/search?from=' || substr(route_code, 1, 3) || '&to=' || substr(route_code, 5, 3) || '&date=' || strftime(travel_date, '%Y-%m-%d') AS url FROM diagnostic_results""")
+def verified_pages(spark: SparkSession, root: str) -> DataFrame:
+    a, b = F.substring("route_code", 1, 3), F.substring("route_code", 5, 3)
+    host = F.parse_url("final_url", F.lit("HOST"))
+    return table(spark, root, "diagnostic_results").select("result_id", (X.names_place("page_title", a) & X.names_place("page_title", b)).alias("names_route"), X.search_url(host, a, b, F.col("travel_date")).alias("url"))
+
+
+@query("""SELECT quote_id, s.source_code, coalesce(a.airline_code, CASE WHEN trim(coalesce(q.airline, '')) = '' THEN 'Unknown' ELSE trim(q.airline) END) AS airline
+FROM flight_quotes q LEFT JOIN data_sources s ON lower(s.source_name) = lower(trim(q.source)) LEFT JOIN airlines a ON upper(a.airline_name) = upper(trim(q.airline))""")
+def resolved_dimensions(spark: SparkSession, root: str) -> DataFrame:
+    sources = table(spark, root, "data_sources").select(F.lower("source_name").alias("_s"), "source_code")
+    names = {r.airline_name: r.airline_code for r in bounded_rows(table(spark, root, "airlines").select("airline_name", "airline_code"), 5000)}
+    quotes = table(spark, root, "flight_quotes").withColumn("_s", F.lower(F.trim("source")))
+    return quotes.join(broadcast_if_small(sources), "_s", "left").select("quote_id", "source_code", X.mapped("airline", names).alias("airline"))
+
+
+WINDOW_WEIGHTS = ((1, 0.1), (2, 0.2), (3, 0.4), (4, 0.2), (5, 0.1))
+
+
+@query(f"""WITH {STORED_CTE}, w AS (SELECT * FROM (VALUES {", ".join(map(str, WINDOW_WEIGHTS))}) v(window_id, w))
+SELECT index_date, route_id, round(sum(price_relative * w) / sum(w), 4) AS index_value, count(*) AS windows_included FROM relatives JOIN w USING (window_id) GROUP BY ALL""")
+def route_index_weighted(spark: SparkSession, root: str) -> DataFrame:
+    weights = spark.createDataFrame(WINDOW_WEIGHTS, "window_id int, weight double")
+    return index.route_index(relatives(spark, root), weights, digits=FINE).withColumn("index_value", F.round("index_value", 4))
+
+
+@query("""SELECT r.route_id, r.route_code, least(o.n, d.n) AS shared FROM routes r JOIN (SELECT origin_city_id, count(*) AS n FROM routes GROUP BY 1) o USING (origin_city_id) JOIN (SELECT destination_city_id, count(*) AS n FROM routes GROUP BY 1) d USING (destination_city_id) WHERE r.is_active""")
+def route_cities(spark: SparkSession, root: str) -> DataFrame:
+    routes = table(spark, root, "routes")
+    o = routes.groupBy("origin_city_id").agg(F.count("*").alias("o"))
+    d = routes.groupBy("destination_city_id").agg(F.count("*").alias("d"))
+    return routes.where("is_active").join(o, "origin_city_id").join(d, "destination_city_id").select("route_id", "route_code", F.least("o", "d").alias("shared"))
+
+
+@query("""SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2""")
+def event_windows(spark: SparkSession, root: str) -> DataFrame:
+    """The batch form of the streamed windowed counts, over the event table."""
+    events = table(spark, root, "events")
+    return events.groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 day").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
