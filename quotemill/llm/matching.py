@@ -46,7 +46,7 @@ RULES = (
     Rule("near number, carrier, time", "any", "near", 15, misprint=True),
     Rule("near number, carrier, arrival", "any", "near", arrival=True, misprint=True),
     Rule("near number, time", "", "near", 0, arrival=True),
-    Rule("carrier, time, arrival", "any", "", 0, arrival=True),
+    Rule("carrier, time, arrival", "any", "", 0, arrival=True, misprint=True),
     Rule("carrier, arrival", "any", "", arrival=True),
     Rule("carrier, time", "any", "", 0),
     Rule("carrier, near time", "any", "", 15),
@@ -142,8 +142,11 @@ def flights(strong: DataFrame) -> DataFrame:
     return facts.join(sizes, "flight")
 
 
-def candidates(rows: DataFrame, known: DataFrame, rule: Rule, labelled: bool = False) -> DataFrame:
-    """(id, flight): what the rule resolves, with all candidates being one flight. rows: id, o, d, day, code, name, number, dep, arr, own, source."""
+def candidates(rows: DataFrame, known: DataFrame, rule: Rule, labelled: bool = False, misprints: bool = False) -> DataFrame:
+    """(id, flight): what the rule resolves, with all candidates being one flight. rows: id, o, d, day, code, name, number, dep, arr, own, source.
+
+    labelled: the rule is tested on quotes that have all attributes; misprints: the number of a quote may be wrong.
+    """
     left = rows.where("o is not null and d is not null and day is not null")
     keys = ["o", "d", "day"]
     if rule.nameless and not labelled:
@@ -158,7 +161,7 @@ def candidates(rows: DataFrame, known: DataFrame, rule: Rule, labelled: bool = F
         keys.append("number")
     elif rule.number == "near":
         left = left.where("number is not null")
-    elif not labelled:
+    elif not labelled and not misprints:
         left = left.where("number is null")
     if rule.minutes is not None:
         left = left.where("dep is not null").withColumn("dep", F.explode(F.array(*[F.col("dep") + m for m in range(-rule.minutes, rule.minutes + 1, 5)])))
@@ -173,11 +176,25 @@ def candidates(rows: DataFrame, known: DataFrame, rule: Rule, labelled: bool = F
         found = found.where(near(F.col("number"), F.col("their_number")))
     if labelled and rule.minutes is not None:  # a time that only the quote's own source gives proves nothing
         found = found.where("not (time_sources = 1 and a_source = source)")
-    if not labelled:
+    if not labelled or misprints:
         found = found.where("own is null or flight <> own")
     return found.groupBy("id").agg(F.min("flight").alias("flight"), F.max("flight").alias("other")).where("flight = other").select("id", "flight")
 
 
+def _one_name(single: DataFrame, lone: DataFrame) -> DataFrame:
+    """(own, flight): one name for flights that are each printed by one source and are misprints of each other.
+
+    Flights of one carrier and route that leave and arrive together are one; so are near numbers at nearly one time.
+    """
+    timed = single.where("dep is not null and arr is not null").groupBy("code", "o", "d", "day", "dep", "arr").agg(F.min("own").alias("a"), F.collect_set("own").alias("owns"))
+    together = timed.select("a", F.explode("owns").alias("own")).groupBy("own").agg(F.min("a").alias("a"))
+    near_rule = next(r for r in RULES if r.misprint)
+    beside = single.select("id", "own").join(candidates(single, lone, near_rule, misprints=True), "id").groupBy("own").agg(F.min("flight").alias("b"))
+    first = single.select("own").distinct().join(together, "own", "left").join(beside, "own", "left").select("own", F.least("own", F.coalesce("a", "own"), F.coalesce("b", "own")).alias("flight"))
+    again = first.select(F.col("own").alias("flight"), F.col("flight").alias("name"))  # the other's name may have another
+    return first.join(again, "flight").select("own", F.col("name").alias("flight"))
+
+
 def match_quotes(quotes: DataFrame, airlines: DataFrame, smoothing: float = 1.0, measure: bool = True) -> DataFrame:
     """(quote_id, source, flight, rule, confidence): the flight of every quote that names or resolves to one.
 
@@ -210,16 +227,16 @@ def match_quotes(quotes: DataFrame, airlines: DataFrame, smoothing: float = 1.0,
 
     # flights of one source: misprints of confirmed flights, then of each other
     for rule in (r for r in RULES if r.misprint):
-        fixed = checkpoint(candidates(single, confirmed, rule))
+        fixed = checkpoint(candidates(single, confirmed, rule, misprints=True))
         done.append((fixed, rule.name))
         single = checkpoint(single.join(fixed.select("id"), "id", "left_anti"))
-        if measure:  # another flight so near a labelled one would have been taken for its misprint
-            wrong = candidates(labelled, confirmed, rule, labelled=True).select("id", F.lit(True).alias("wrong"))
+        if measure and rule.number == "near":  # another flight so near a labelled one would have been taken for its misprint
+            wrong = candidates(labelled, confirmed, rule, labelled=True, misprints=True).select("id", F.lit(True).alias("wrong"))
             confidence[rule.name] = precision(labelled.select("id").join(wrong, "id", "left"), F.col("wrong").isNull())
     lone = checkpoint(known.join(single.select(F.col("own").alias("flight")).distinct(), "flight", "left_semi"))
-    twins = candidates(single, lone, next(r for r in RULES if r.misprint)).withColumnRenamed("flight", "twin")
-    done.append((checkpoint(single.join(twins, "id", "left").select("id", F.least("own", F.coalesce("twin", "own")).alias("flight"))), "printed once"))
-    known = confirmed.unionByName(lone)
+    names = checkpoint(_one_name(single, lone))
+    done.append((single.join(names, "own").select("id", "flight"), "printed once"))
+    known = confirmed.unionByName(lone.withColumnRenamed("flight", "own").join(names, "own").drop("own"))
 
     # quotes without a printed carrier or number
     left = rows.where(~printed).withColumn("own", F.lit(None).cast("string"))

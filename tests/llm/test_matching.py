@@ -59,6 +59,11 @@ def test_cascade(spark):
     assert all(0 < c <= 1 for c in got.values()) and got[(1, 2)] >= got[(1, 6)]
 
 
+def test_misprints_of_flights_without_a_confirmed_number(spark):
+    rows = [quote(1, "M4", "M4 731", source="a"), quote(2, "M4", "M4 377", source="b"), quote(3, "M4", "M4 737", source="c"), quote(4, "M4", "M4 99", source="c", d="CCC")]
+    assert set(pairs(spark, rows)) == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_ambiguous_candidates_resolve_nothing(spark):
     rows = [quote(i, n, f"{n} 500", source=s) for i, (n, s) in enumerate([("M4", "a"), ("M4", "b"), ("T9", "a"), ("T9", "b")])]
     rows.append(quote(9, None, "500", source="c"))
