@@ -11,6 +11,7 @@ confidence is the product of its two quotes' precisions, smoothed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,31 +28,26 @@ COMPANY = r"\b(limited|ltd|pvt|private|airways?|airlines?|aviation|aviaton|avn)\
 
 @dataclass(frozen=True)
 class Rule:
-    """Candidates share the route and date and what is set here."""
+    """What a quote and a flight must share besides their pass's join keys."""
 
     name: str
-    carrier: str = ""  #: column of the carrier code that must be equal, or "" for any
-    number: str = ""  #: "equal", "near" or "" for any
+    carrier: bool = False  #: the airline's name must mean the flight's carrier
+    number: str = ""  #: "near", or "none": the quote has no number; "" if the number is a join key
     minutes: int | None = None  #: the departure time may be off by so many minutes; None: it does not count
     arrival: bool = False  #: the arrival time must be equal
-    nameless: bool = False  #: only for quotes whose airline is unknown
-    misprint: bool = False  #: also for flights that only one source prints
-
-
-RULES = (
-    Rule("number, carrier name, time", "name", "equal", 15),
-    Rule("number, time", "", "equal", 15),
-    Rule("number, carrier name", "name", "equal"),
-    Rule("number", "", "equal", nameless=True),
-    Rule("near number, carrier, time", "any", "near", 15, misprint=True),
-    Rule("near number, carrier, arrival", "any", "near", arrival=True, misprint=True),
-    Rule("near number, time", "", "near", 0, arrival=True),
-    Rule("carrier, time, arrival", "any", "", 0, arrival=True, misprint=True),
-    Rule("carrier, arrival", "any", "", arrival=True),
-    Rule("carrier, time", "any", "", 0),
-    Rule("carrier, near time", "any", "", 15),
-    Rule("time, arrival", "", "", 0, arrival=True),
+
+
+#: The passes: each is one exact join on its keys (with route and day), then its rules from strong to weak. What a pass
+#: resolves is anti-joined before the next.
+PASSES = (
+    ("number", (Rule("number, carrier name, time", carrier=True, minutes=15), Rule("number, time", minutes=15), Rule("number, carrier name", carrier=True))),
+    ("carrier", (
+        Rule("near number, carrier, time", number="near", minutes=15), Rule("near number, carrier, arrival", number="near", arrival=True),
+        Rule("carrier, time, arrival", number="none", minutes=0, arrival=True), Rule("carrier, time", number="none", minutes=0), Rule("carrier, near time", number="none", minutes=15),
+    )),
 )
+#: For flights that only one source prints: their number may be a misprint.
+MISPRINTS = (*PASSES[1][1][:2], Rule("carrier, time, arrival", minutes=0, arrival=True))
 
 
 def minutes_of(c: Column) -> Column:
@@ -142,43 +138,46 @@ def flights(strong: DataFrame) -> DataFrame:
     return facts.join(sizes, "flight")
 
 
-def candidates(rows: DataFrame, known: DataFrame, rule: Rule, labelled: bool = False, misprints: bool = False) -> DataFrame:
-    """(id, flight): what the rule resolves, with all candidates being one flight. rows: id, o, d, day, code, name, number, dep, arr, own, source.
-
-    labelled: the rule is tested on quotes that have all attributes; misprints: the number of a quote may be wrong.
-    """
-    left = rows.where("o is not null and d is not null and day is not null")
-    keys = ["o", "d", "day"]
-    if rule.nameless and not labelled:
-        left = left.where("name is null")
+def _fits(rule: Rule, labelled: bool) -> Column:
+    fits = F.lit(True)
     if rule.carrier:
-        side = F.col("name") if rule.carrier == "name" else F.coalesce("code", "name")
-        left = left.withColumn("carrier", side).where("carrier is not null")
-        keys.append("carrier")
-    right = known
-    if rule.number == "equal":
-        left = left.where("number is not null")
-        keys.append("number")
-    elif rule.number == "near":
-        left = left.where("number is not null")
-    elif not labelled and not misprints:
-        left = left.where("number is null")
+        fits = fits & (F.col("name") == F.col("their_carrier"))
+    if rule.number == "near":
+        fits = fits & near(F.col("number"), F.col("their_number"))
+    elif rule.number == "none" and not labelled:
+        fits = fits & F.col("number").isNull()
     if rule.minutes is not None:
-        left = left.where("dep is not null").withColumn("dep", F.explode(F.array(*[F.col("dep") + m for m in range(-rule.minutes, rule.minutes + 1, 5)])))
-        keys.append("dep")
-        right = right.where("dep is not null")
+        fits = fits & (F.abs(F.col("dep") - F.col("their_dep")) <= rule.minutes)
+        if labelled:  # a time that only the quote's own source gives proves nothing
+            fits = fits & ((F.col("time_sources") > 1) | (F.col("a_source") != F.col("source")))
     if rule.arrival:
-        left, right = left.where("arr is not null"), right.where("arr is not null")
-        keys.append("arr")
-    right = right.select(*keys, "flight", "sources", "time_sources", "a_source", *([] if "number" in keys else ["number"])).withColumnRenamed("number", "number" if "number" in keys else "their_number")
-    found = left.select("id", "own", "source", *keys, *([] if "number" in keys else ["number"])).join(right, keys)
-    if rule.number == "near":
-        found = found.where(near(F.col("number"), F.col("their_number")))
-    if labelled and rule.minutes is not None:  # a time that only the quote's own source gives proves nothing
-        found = found.where("not (time_sources = 1 and a_source = source)")
-    if not labelled or misprints:
-        found = found.where("own is null or flight <> own")
-    return found.groupBy("id").agg(F.min("flight").alias("flight"), F.max("flight").alias("other")).where("flight = other").select("id", "flight")
+        fits = fits & (F.col("arr") == F.col("their_arr"))
+    return F.coalesce(fits, F.lit(False))
+
+
+def candidates(rows: DataFrame, known: DataFrame, key: str, rules: Sequence[Rule], labelled: bool = False) -> DataFrame:
+    """(id, f0, f1, ...): for every rule of a pass the flight it resolves a quote to, null if none or several fit.
+
+    One exact join on route, day and the pass's key; a quote meets the flights of its key, each with its times, never
+    other quotes. A flight is not resolved to itself unless the rule is only being tested (labelled).
+    """
+    side = F.coalesce("code", "name") if key == "carrier" else F.col("number")
+    left = rows.select("id", "source", "own", "o", "d", "day", "name", "number", "dep", "arr", side.alias("key")).where("key is not null and o is not null and d is not null and day is not null")
+    right = known.select("o", "d", "day", F.col(key).alias("key"), "flight", F.col("carrier").alias("their_carrier"), F.col("number").alias("their_number"), F.col("dep").alias("their_dep"), F.col("arr").alias("their_arr"), "time_sources", "a_source")
+    met = left.join(right, ["o", "d", "day", "key"])
+    if not labelled:
+        met = met.where("own is null or flight <> own")
+    fits = met.select("id", "flight", *[_fits(r, labelled).alias(f"r{i}") for i, r in enumerate(rules)]).where(reduce(lambda x, y: x | y, (F.col(f"r{i}") for i in range(len(rules)))))
+    ends = fits.groupBy("id").agg(*[f(F.when(F.col(f"r{i}"), F.col("flight"))).alias(f"{n}{i}") for i in range(len(rules)) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    return ends.select("id", *[F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).alias(f"f{i}") for i in range(len(rules))])
+
+
+def resolve(rows: DataFrame, known: DataFrame, key: str, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+    """The rows that a pass resolves, with flight and rule, and the rows that remain; written once."""
+    found = candidates(rows, known, key, rules)
+    first = F.coalesce(*[F.when(F.col(f"f{i}").isNotNull(), F.struct(F.col(f"f{i}").alias("flight"), F.lit(r.name).alias("rule"))) for i, r in enumerate(rules)])
+    tagged = checkpoint(rows.join(found.select("id", first.alias("x")), "id", "left").select(*rows.columns, "x.flight", "x.rule"))
+    return tagged.where("flight is not null"), tagged.where("flight is null").drop("flight", "rule")
 
 
 def _one_name(single: DataFrame, lone: DataFrame) -> DataFrame:
@@ -188,13 +187,27 @@ def _one_name(single: DataFrame, lone: DataFrame) -> DataFrame:
     """
     timed = single.where("dep is not null and arr is not null").groupBy("code", "o", "d", "day", "dep", "arr").agg(F.min("own").alias("a"), F.collect_set("own").alias("owns"))
     together = timed.select("a", F.explode("owns").alias("own")).groupBy("own").agg(F.min("a").alias("a"))
-    near_rule = next(r for r in RULES if r.misprint)
-    beside = single.select("id", "own").join(candidates(single, lone, near_rule, misprints=True), "id").groupBy("own").agg(F.min("flight").alias("b"))
+    beside = single.select("id", "own").join(candidates(single, lone, "carrier", MISPRINTS[:1]), "id").groupBy("own").agg(F.min("f0").alias("b"))
     first = single.select("own").distinct().join(together, "own", "left").join(beside, "own", "left").select("own", F.least("own", F.coalesce("a", "own"), F.coalesce("b", "own")).alias("flight"))
     again = first.select(F.col("own").alias("flight"), F.col("flight").alias("name"))  # the other's name may have another
     return first.join(again, "flight").select("own", F.col("name").alias("flight"))
 
 
+def _precisions(labelled: DataFrame, known: DataFrame, confirmed: DataFrame, smoothing: float) -> dict[str, float]:
+    """By rule: (right + s) / (n + 2 s) over the labelled quotes it resolves. One row of counts comes to the driver per pass."""
+    smooth = lambda right, n: ((right or 0) + smoothing) / (n + 2 * smoothing)
+    agree = labelled.where("name is not null").agg(F.count_if(F.col("name") == F.col("code")).alias("r"), F.count("*").alias("n")).first()
+    out = dict.fromkeys(("printed", "printed once", "named"), smooth(agree.r, agree.n))
+    for key, rules in PASSES:
+        test = candidates(labelled, known, key, rules, labelled=True).join(labelled.select("id", "own"), "id")
+        counts = test.agg(*[f.alias(f"{n}{i}") for i in range(len(rules)) for f, n in ((F.count_if(F.col(f"f{i}") == F.col("own")), "r"), (F.count(f"f{i}"), "n"))]).first()
+        out |= {r.name: smooth(counts[f"r{i}"], counts[f"n{i}"]) for i, r in enumerate(rules) if r.number != "near"}
+    # another confirmed flight so near a labelled one would have been taken for its misprint
+    mistaken = candidates(labelled, confirmed, "carrier", MISPRINTS[:2], labelled=True).agg(F.count("f0").alias("w0"), F.count("f1").alias("w1")).first()
+    total = labelled.count()
+    return out | {r.name: smooth(total - mistaken[f"w{i}"], total) for i, r in enumerate(MISPRINTS[:2])}
+
+
 def match_quotes(quotes: DataFrame, airlines: DataFrame, smoothing: float = 1.0, measure: bool = True) -> DataFrame:
     """(quote_id, source, flight, rule, confidence): the flight of every quote that names or resolves to one.
 
@@ -204,57 +217,39 @@ def match_quotes(quotes: DataFrame, airlines: DataFrame, smoothing: float = 1.0,
     not come out. Repeated quotes resolve alike; ties (candidates of several flights) resolve nothing. Empty tables
     give no rows; extra columns are ignored.
 
-    Every step is written to the checkpoint folder, so that no plan holds more than one rule.
+    Every pass is written to the checkpoint folder, so that no plan holds more than one.
     """
     rows = checkpoint(resolved_attributes(quotes, airlines))
     printed = F.col("code").isNotNull() & F.col("number").isNotNull() & F.col("o").isNotNull() & F.col("d").isNotNull() & F.col("day").isNotNull()
     known = checkpoint(flights(rows.where(printed)))
     confirmed = known.where("sources > 1")
-    sizes = known.select(F.col("flight").alias("own"), "sources").distinct()
+    sizes = known.groupBy(F.col("flight").alias("own")).agg(F.first("sources").alias("sources"))
     strong = checkpoint(rows.where(printed).withColumn("own", flight_key("code")).join(sizes, "own"))
-    labelled, single = strong.where("sources > 1"), strong.where("sources = 1")
-    done = [(labelled.select("id", F.col("own").alias("flight")), "printed")]
-
-    def precision(hits: DataFrame, is_right: Column) -> float:
-        """Of the labelled quotes that a rule resolves; one row comes to the driver."""
-        r = hits.agg(F.sum(is_right.cast("double")).alias("r"), F.count("*").alias("n")).first()
-        return ((r.r or 0.0) + smoothing) / (r.n + 2 * smoothing)
-
-    confidence: dict[str, float] = {}
-    if measure:
-        agree = precision(labelled.where("name is not null"), F.col("name") == F.col("code"))
-        confidence |= {"printed": agree, "printed once": agree, "named": agree}
+    labelled = strong.where("sources > 1")
+    done = [labelled.select("id", "source", F.col("own").alias("flight"), F.lit("printed").alias("rule"))]
 
     # flights of one source: misprints of confirmed flights, then of each other
-    for rule in (r for r in RULES if r.misprint):
-        fixed = checkpoint(candidates(single, confirmed, rule, misprints=True))
-        done.append((fixed, rule.name))
-        single = checkpoint(single.join(fixed.select("id"), "id", "left_anti"))
-        if measure and rule.number == "near":  # another flight so near a labelled one would have been taken for its misprint
-            wrong = candidates(labelled, confirmed, rule, labelled=True, misprints=True).select("id", F.lit(True).alias("wrong"))
-            confidence[rule.name] = precision(labelled.select("id").join(wrong, "id", "left"), F.col("wrong").isNull())
-    lone = checkpoint(known.join(single.select(F.col("own").alias("flight")).distinct(), "flight", "left_semi"))
+    fixed, single = resolve(strong.where("sources = 1"), confirmed, "carrier", MISPRINTS)
+    lone = known.join(single.select(F.col("own").alias("flight")).distinct(), "flight", "left_semi")
     names = checkpoint(_one_name(single, lone))
-    done.append((single.join(names, "own").select("id", "flight"), "printed once"))
-    known = confirmed.unionByName(lone.withColumnRenamed("flight", "own").join(names, "own").drop("own"))
+    done += [fixed, single.join(names, "own").withColumn("rule", F.lit("printed once"))]
+    known = checkpoint(confirmed.unionByName(lone.withColumnRenamed("flight", "own").join(names, "own").drop("own")))
 
     # quotes without a printed carrier or number
     left = rows.where(~printed).withColumn("own", F.lit(None).cast("string"))
-    for rule in RULES:
-        found = checkpoint(candidates(left, known, rule))
-        done.append((found, rule.name))
-        left = checkpoint(left.join(found.select("id"), "id", "left_anti"))
-        if measure and rule.number != "near":
-            test = candidates(labelled, known, rule, labelled=True).join(labelled.select("id", "own"), "id")
-            confidence[rule.name] = precision(test, F.col("flight") == F.col("own"))
+    for key, rules in PASSES:
+        found, left = resolve(left, known, key, rules)
+        done.append(found)
     # what is left names its own flight by the airline and a number
     named = left.where("name is not null and number is not null and o is not null and d is not null and day is not null")
-    done.append((named.select("id", flight_key("name").alias("flight")), "named"))
-
-    resolved = reduce(DataFrame.unionByName, (
-        d.select("id", "flight", F.lit(name).alias("rule"), F.lit(confidence.get(name, 0.5) if measure else None).cast("double").alias("confidence")) for d, name in done
-    ))
-    return resolved.join(rows.select("id", "source"), "id").select(F.col("id").alias("quote_id"), "source", "flight", "rule", "confidence")
+    done.append(named.withColumns({"flight": flight_key("name"), "rule": F.lit("named")}))
+
+    out = reduce(DataFrame.unionByName, (d.select(F.col("id").alias("quote_id"), "source", "flight", "rule") for d in done))
+    if not measure:
+        return out.withColumn("confidence", F.lit(None).cast("double"))
+    precision = _precisions(labelled, known, confirmed, smoothing)
+    table = F.create_map(*[F.lit(x) for pair in precision.items() for x in pair])
+    return out.withColumn("confidence", F.coalesce(F.try_element_at(table, F.col("rule")), F.lit(0.5)))
 
 
 def matched_pairs(matched: DataFrame) -> DataFrame:
