@@ -173,7 +173,20 @@ class Index:
             at += len(own[k]) + 1
         return 0
 
-    def search(self, text: str) -> dict[int, int]:
+    def search(self, text: str, piece: int = 1_000_000) -> dict[int, int]:
+        """Leaked items with their longest run, in pieces that overlap by more than any item, so that each run is whole in one."""
+        if len(text) <= piece:
+            return self._search(text)
+        found: dict[int, int] = {}
+        overlap = 2 * max(map(len, self.texts), default=0) + 4 * self.cfg.q
+        for lo in range(0, len(text), piece):
+            first = text.rfind(" ", 0, lo) + 1 if lo else 0
+            last = text.find(" ", min(len(text), lo + piece + overlap))
+            for item, n in self._search(text[first : last if last >= 0 else len(text)]).items():
+                found[item] = max(n, found.get(item, 0))
+        return found
+
+    def _search(self, text: str) -> dict[int, int]:
         found: dict[int, int] = {}
         if not len(self.hash) or len(text) < self.cfg.q:
             return found

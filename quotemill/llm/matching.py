@@ -1,8 +1,8 @@
 """Matching quotes of one flight across sources, by a cascade of deterministic rules (problem 1).
 
 The quotes with a carrier code before their number make the flights (entities). Every other quote is resolved by
-successive exact joins on weaker combinations of attributes; what a rule resolves leaves the cascade, and a rule
-resolves a quote only if all its candidates are one flight. A flight that only one source quotes may be a misprint:
+successive exact joins on weaker combinations of attributes (PASSES); what a pass resolves leaves the cascade, and a
+rule resolves a quote only if all its candidates are one flight. A flight that only one source quotes may be a misprint:
 it is first looked for among the flights that several sources quote. The precision of each rule is measured on
 labelled quotes (those whose carrier and number are printed and confirmed by another source): the rule is
 applied to them as if it saw only its own attributes, and without the times that only their own source gives. A pair's

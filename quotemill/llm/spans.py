@@ -79,7 +79,7 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def edges_of(texts: list[str], cfg: SpanSettings) -> tuple[np.ndarray, ...]:
-    """(text number, ordinal, first character, end, hash) of every edge of the texts."""
+    """(text number, first character, second anchor, end, hash) of every edge of the texts."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     codes = codes_of("".join(texts))
@@ -97,8 +97,7 @@ def edges_of(texts: list[str], cfg: SpanSettings) -> tuple[np.ndarray, ...]:
         return (np.empty(0, dtype=np.int64),) * 4 + (np.empty(0, dtype=np.uint64),)
     owner = text[at]
     same = owner[:-k] == owner[k:]
-    first_of = np.searchsorted(owner, owner, "left")
-    lo, hi = at[:-k][same], at[k:][same] + cfg.q
+    lo, mid, hi = at[:-k][same], at[1 : len(at) - k + 1][same], at[k:][same] + cfg.q
     up, down = _POWERS.upto(len(codes) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])])
     h = (sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64)
@@ -107,32 +106,45 @@ def edges_of(texts: list[str], cfg: SpanSettings) -> tuple[np.ndarray, ...]:
     h ^= h >> np.uint64(29)
     n = owner[:-k][same]
     base = (ends - sizes)[n]
-    return n, (np.arange(len(at)) - first_of)[:-k][same], lo - base, hi - base, h
+    return n, lo - base, mid - base, hi - base, h
+
+
+def pieces(text: str, cfg: SpanSettings) -> Iterator[tuple[int, str]]:
+    """(offset, part) of a text in parts of cfg.chunk characters, which overlap so that every edge is whole in one.
+
+    An anchor of a part is one of the text, and between two neighbouring ones of a part the text has no other: a window
+    that reaches out of the part and holds both holds nothing that the part's outermost window does not.
+    """
+    step = max(cfg.chunk, 4 * cfg.least)
+    for lo in range(0, max(1, len(text)), step):
+        yield lo, text[lo : lo + step + (cfg.k + 2) * cfg.window + cfg.q]
+        if lo + step >= len(text):
+            break
 
 
 def _edges(batches: Iterator[pd.DataFrame], cfg: SpanSettings) -> Iterator[pd.DataFrame]:
     seen: set[int] = set()
 
-    def flush(classes: list[int], texts: list[str]) -> pd.DataFrame:
-        n, i, lo, hi, h = edges_of(texts, cfg)
-        return pd.DataFrame({"e": h.view(np.int64), "c": np.array(classes, dtype=np.int64)[n], "i": i.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
+    def flush(parts: list[tuple[int, int, str]]) -> pd.DataFrame:
+        n, lo, mid, hi, h = edges_of([t for _, _, t in parts], cfg)
+        classes, offsets = np.array([c for c, _, _ in parts], dtype=np.int64)[n], np.array([o for _, o, _ in parts], dtype=np.int64)[n]
+        return pd.DataFrame({"e": h.view(np.int64), "c": classes, "lo": (lo + offsets).astype(np.int32), "step": (mid - lo).astype(np.int32), "size": (hi - lo).astype(np.int32)})
 
     for batch in batches:
-        classes: list[int] = []
-        texts: list[str] = []
+        parts: list[tuple[int, int, str]] = []
         size = 0
         for c, t in zip(batch["c"].tolist(), batch["t"]):
             if c in seen:
                 continue
             seen.add(c)
-            classes.append(c)
-            texts.append(t)
-            size += len(t)
-            if size >= cfg.chunk:
-                yield flush(classes, texts)
-                classes, texts, size = [], [], 0
-        if texts:
-            yield flush(classes, texts)
+            for offset, part in pieces(t, cfg):
+                parts.append((c, offset, part))
+                size += len(part)
+                if size >= cfg.chunk:
+                    yield flush(parts)
+                    parts, size = [], 0
+        if parts:
+            yield flush(parts)
 
 
 def text_classes(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
@@ -141,27 +153,28 @@ def text_classes(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
 
 
 def repeated_edges(docs: DataFrame, text: str, cfg: SpanSettings) -> DataFrame:
-    """(e, c, i, lo, hi): occurrences of the edges that stand in at least two different texts."""
+    """(e, c, lo, mid, hi): occurrences of the edges that stand in at least two different texts; the next edge begins at mid."""
     long = docs.where(F.length(F.col(text)) >= cfg.least).select(F.xxhash64(text).alias("c"), F.col(text).alias("t"))
-    edges = long.mapInPandas(lambda it: _edges(it, cfg), "e long, c long, i int, lo int, hi int")
+    edges = long.mapInPandas(lambda it: _edges(it, cfg), "e long, c long, lo int, step int, size int")
     # partial minima and maxima: a hot edge sends one row per task
     shared = edges.select("e", "c").groupBy("e").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("e")
-    return checkpoint(edges.join(shared, "e").dropDuplicates(["c", "i"]))
+    found = edges.join(shared, "e").dropDuplicates(["c", "lo"])
+    return checkpoint(found.select("e", "c", "lo", (F.col("lo") + F.col("step")).alias("mid"), (F.col("lo") + F.col("size")).alias("hi")))
 
 
 def unitigs(repeated: DataFrame) -> DataFrame:
     """(u, c, lo, hi, edges): occurrences of the maximal nonbranching paths of repeated edges; u: the first edge."""
-    w = Window.partitionBy("c").orderBy("i")
+    w = Window.partitionBy("c").orderBy("lo")
     near = repeated.select(
-        "*", F.when(F.lead("i").over(w) == F.col("i") + 1, F.lead("e").over(w)).alias("next"), F.when(F.lag("i").over(w) == F.col("i") - 1, F.lag("e").over(w)).alias("last"),
+        "*", F.when(F.lead("lo").over(w) == F.col("mid"), F.lead("e").over(w)).alias("next"), F.when(F.lag("mid").over(w) == F.col("lo"), F.lag("e").over(w)).alias("last"),
     )
     one = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
     facts = near.groupBy("e").agg(F.when(one("next"), F.min("next")).alias("only_next"), F.when(one("last"), F.min("last")).alias("only_last"))
     ahead = facts.select(F.col("e").alias("x"), F.col("only_next").alias("x_next"))
     # an edge goes on its predecessor's path if each is the only neighbour of the other
     joined = facts.join(ahead, facts.only_last == ahead.x, "left").select("e", F.coalesce(F.col("x_next") == F.col("e"), F.lit(False)).alias("goes_on"))
-    runs = near.join(joined, "e").select("c", "i", "e", "lo", "hi", F.sum(F.when(F.col("goes_on") & F.col("last").isNotNull(), 0).otherwise(1)).over(w).alias("run"))
-    return runs.groupBy("c", "run").agg(F.min_by("e", "i").alias("u"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("edges")).drop("run")
+    runs = near.join(joined, "e").select("c", "e", "lo", "hi", F.sum(F.when(F.col("goes_on") & F.col("last").isNotNull(), 0).otherwise(1)).over(w).alias("run"))
+    return runs.groupBy("c", "run").agg(F.min_by("e", "lo").alias("u"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("edges")).drop("run")
 
 
 def _windows(batches: Iterator[pd.DataFrame], cfg: SpanSettings) -> Iterator[pd.DataFrame]:
@@ -229,8 +242,8 @@ def shared_share(docs: DataFrame, key: str, text: str, cfg: SpanSettings = SpanS
     window + q characters further on either side, which are not counted. Paths too short to belong to a stretch of
     cfg.least characters do not count. Null texts have 0 characters and share 0.
     """
-    w = Window.partitionBy("c").orderBy("i")
-    steps = repeated_edges(docs, text, cfg).withColumn("new", F.when(F.lag("i").over(w) == F.col("i") - 1, 0).otherwise(1))
+    w = Window.partitionBy("c").orderBy("lo")
+    steps = repeated_edges(docs, text, cfg).withColumn("new", F.when(F.lag("mid").over(w) == F.col("lo"), 0).otherwise(1))
     paths = steps.withColumn("path", F.sum("new").over(w)).groupBy("c", "path").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     long = paths.where(F.col("hi") - F.col("lo") >= cfg.least - 2 * (cfg.window - 1) - cfg.q)
     order = Window.partitionBy("c").orderBy("lo", "hi")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quotemill.llm.leaks import LeakSettings, aligned, codes_of, gram_hashes, leaked_items, normal
+from quotemill.llm.leaks import Index, LeakSettings, aligned, codes_of, gram_hashes, leaked_items, normal
 
 VOCABULARY = [f"w{i}" for i in range(30)] + ["ñandú", "x", "ज"]
 
@@ -54,6 +54,18 @@ def test_edit_budget(spark):
         leaks(spark, docs, [], edits=5)
 
 
+def test_long_texts_are_searched_in_pieces():
+    rng = random.Random(5)
+    items = [(i, normal(" ".join(f"t{rng.randrange(50)}" for _ in range(30)))) for i in range(5)]
+    index = Index(items, LeakSettings())
+    text = " ".join(f"n{rng.randrange(999)}" for _ in range(2000))
+    for i, t in items:
+        at = rng.randrange(len(text))
+        text = f"{text[:at]} {' '.join(t.split(' ')[3 : 3 + 14 + i])} {text[at:]}"
+    whole = index.search(text)
+    assert len(whole) == 5 and all(index.search(text, size) == whole for size in (100, 333, 1000))
+
+
 def test_parts():
     assert normal("A_b, C-3\nज़") == "a b c 3 ज"
     h = gram_hashes(codes_of("abcdefgh" * 3), 5)

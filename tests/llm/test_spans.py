@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quotemill.llm.spans import SpanSettings, edges_of, repeated_edges, shared_share, shared_spans, sliding_minimum, unitigs
+from quotemill.llm.spans import SpanSettings, edges_of, pieces, repeated_edges, shared_share, shared_spans, sliding_minimum, unitigs
 
 SMALL = SpanSettings(least=60, q=6, window=14, k=2)
 
@@ -43,11 +43,21 @@ def test_sliding_minimum():
 def test_edges_do_not_depend_on_neighbours():
     rng = random.Random(4)
     docs = texts(rng, 10)
-    n, i, lo, hi, h = edges_of(docs, SMALL)
+    n, *columns = edges_of(docs, SMALL)
     for k, t in enumerate(docs):
-        _, j, lo2, hi2, h2 = edges_of([t], SMALL)
-        mine = n == k
-        assert np.array_equal(i[mine], j) and np.array_equal(lo[mine], lo2) and np.array_equal(hi[mine], hi2) and np.array_equal(h[mine], h2)
+        _, *alone = edges_of([t], SMALL)
+        assert all(np.array_equal(a[n == k], b) for a, b in zip(columns, alone))
+
+
+def test_pieces_of_a_long_text_have_its_edges():
+    text = "".join(random.Random(6).choice("abcdef") for _ in range(5000)) + "ab" * 500
+    _, *whole = edges_of([text], SMALL)
+    cut = SpanSettings(least=60, q=6, window=14, k=2, chunk=300)
+    found = set()
+    for offset, part in pieces(text, cut):
+        _, lo, mid, hi, h = edges_of([part], cut)
+        found |= set(zip((lo + offset).tolist(), (mid + offset).tolist(), (hi + offset).tolist(), h.tolist()))
+    assert len(list(pieces(text, cut))) > 10 and found == set(zip(*(x.tolist() for x in whole)))
 
 
 def test_against_brute_force(spark):
