@@ -35,16 +35,19 @@ class Rule:
     number: str = ""  #: "near", or "none": the quote has no number; "" if the number is a join key
     minutes: int | None = None  #: the departure time may be off by so many minutes; None: it does not count
     arrival: bool = False  #: the arrival time must be equal
+    nameless: bool = False  #: only for quotes whose airline is unknown
 
 
 #: The passes: each is one exact join on its keys (with route and day), then its rules from strong to weak. What a pass
 #: resolves is anti-joined before the next.
 PASSES = (
-    ("number", (Rule("number, carrier name, time", carrier=True, minutes=15), Rule("number, time", minutes=15), Rule("number, carrier name", carrier=True))),
+    ("number", (Rule("number, carrier name, time", carrier=True, minutes=15), Rule("number, time", minutes=15), Rule("number, carrier name", carrier=True), Rule("number", nameless=True))),
     ("carrier", (
         Rule("near number, carrier, time", number="near", minutes=15), Rule("near number, carrier, arrival", number="near", arrival=True),
         Rule("carrier, time, arrival", number="none", minutes=0, arrival=True), Rule("carrier, time", number="none", minutes=0), Rule("carrier, near time", number="none", minutes=15),
+        Rule("carrier, arrival", number="none", arrival=True),
     )),
+    ("dep", (Rule("near number, time", number="near", minutes=0, arrival=True), Rule("time, arrival", number="none", minutes=0, arrival=True))),
 )
 #: For flights that only one source prints: their number may be a misprint.
 MISPRINTS = (*PASSES[1][1][:2], Rule("carrier, time, arrival", minutes=0, arrival=True))
@@ -146,6 +149,8 @@ def _fits(rule: Rule, labelled: bool) -> Column:
         fits = fits & near(F.col("number"), F.col("their_number"))
     elif rule.number == "none" and not labelled:
         fits = fits & F.col("number").isNull()
+    if rule.nameless and not labelled:
+        fits = fits & F.col("name").isNull()
     if rule.minutes is not None:
         fits = fits & (F.abs(F.col("dep") - F.col("their_dep")) <= rule.minutes)
         if labelled:  # a time that only the quote's own source gives proves nothing
@@ -161,7 +166,7 @@ def candidates(rows: DataFrame, known: DataFrame, key: str, rules: Sequence[Rule
     One exact join on route, day and the pass's key; a quote meets the flights of its key, each with its times, never
     other quotes. A flight is not resolved to itself unless the rule is only being tested (labelled).
     """
-    side = F.coalesce("code", "name") if key == "carrier" else F.col("number")
+    side = F.coalesce("code", "name") if key == "carrier" else F.col(key)
     left = rows.select("id", "source", "own", "o", "d", "day", "name", "number", "dep", "arr", side.alias("key")).where("key is not null and o is not null and d is not null and day is not null")
     right = known.select("o", "d", "day", F.col(key).alias("key"), "flight", F.col("carrier").alias("their_carrier"), F.col("number").alias("their_number"), F.col("dep").alias("their_dep"), F.col("arr").alias("their_arr"), "time_sources", "a_source")
     met = left.join(right, ["o", "d", "day", "key"])
