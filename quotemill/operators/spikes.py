@@ -8,8 +8,8 @@ value is a run over which the innovations of the undisturbed series vanish: no v
 
 Plan: one narrow shuffle by series, sorted in the JVM (it may spill), then Arrow batches in which all series of a
 batch are filtered side by side as rows of a matrix. A series is held in memory only up to BLOCK readings: longer
-ones are cut into stretches of time with readings of both neighbours around them, so that a hot series is spread
-over many tasks.
+ones are cut by rank into stretches with real readings of both neighbours around them, however uneven their times
+are, so that a hot series is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.runtime import bounded_rows
+from quotemill.runtime import bounded_rows, checkpoint
+
+IMPOSSIBLE, SPIKE, STUCK = 1, 2, 4
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,7 @@ class SpikeSettings:
     filler: float = 1_000_000.0  #: no ticket costs as much
     floor: float = 0.03  #: least scatter (of the logarithm) that a source is credited with
     block: int = 8192  #: longest stretch of one series in one task
-    halo: int = 64  #: readings of the neighbouring stretches, by average spacing
+    halo: int = 64  #: possible readings of either neighbouring stretch, by rank
     most_sources: int = 100_000  #: sources whose scatter may be held by every task
 
 
@@ -88,8 +90,8 @@ def _filter(y: np.ndarray, known: np.ndarray, sigma: np.ndarray, cfg: SpikeSetti
     return flags
 
 
-def _series_cases(values: np.ndarray, starts: np.ndarray, sigma: np.ndarray, cfg: SpikeSettings) -> np.ndarray:
-    """Reason (0 none, 1 impossible, 2 spike, 4 stuck) of each distinct reading; starts: first reading of each series."""
+def _series_cases(values: np.ndarray, starts: np.ndarray, sigma: np.ndarray, cfg: SpikeSettings, asked: int) -> np.ndarray:
+    """Reason (0 none, 1 impossible, 2 spike, 4 stuck; those asked for) of each distinct reading; starts: first reading of each series."""
     n = len(values)
     reason = np.zeros(n, dtype=np.int8)
     if not n:
@@ -106,8 +108,8 @@ def _series_cases(values: np.ndarray, starts: np.ndarray, sigma: np.ndarray, cfg
     reason[np.bincount(run)[run] >= cfg.stuck] |= 4
     # spikes: the possible readings of each series, packed to the left of a matrix
     ok = np.nonzero(~impossible)[0]
-    if not len(ok):
-        return reason
+    if not len(ok) or not asked & SPIKE:
+        return reason & asked
     count = np.bincount(series[ok], minlength=len(starts))
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
     order = np.argsort(count, kind="stable")
@@ -130,10 +132,10 @@ def _series_cases(values: np.ndarray, starts: np.ndarray, sigma: np.ndarray, cfg
         backward = np.take_along_axis(_filter(np.take_along_axis(y, back, 1), known, s, cfg), back, 1)
         both = forward & backward & known
         reason[ok[index[both]]] |= 2
-    return reason
+    return reason & asked
 
 
-def _batches(batches: Iterator[pd.DataFrame], cfg: SpikeSettings) -> Iterator[pd.DataFrame]:
+def _batches(batches: Iterator[pd.DataFrame], cfg: SpikeSettings, asked: int) -> Iterator[pd.DataFrame]:
     def done(rows: pd.DataFrame) -> pd.DataFrame:
         key, at = rows["part"].to_numpy(), rows["at"].to_numpy()
         fresh = np.ones(len(rows), dtype=bool)
@@ -142,7 +144,7 @@ def _batches(batches: Iterator[pd.DataFrame], cfg: SpikeSettings) -> Iterator[pd
         first = np.nonzero(fresh)[0]
         keys = key[first]
         starts = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
-        reason = _series_cases(rows["fare"].to_numpy()[first], starts, rows["scatter"].to_numpy()[first], cfg)[reading]
+        reason = _series_cases(rows["fare"].to_numpy()[first], starts, rows["scatter"].to_numpy()[first], cfg, asked)[reading]
         keep = (reason > 0) & rows["own"].to_numpy()
         return pd.DataFrame({"id": rows["id"].to_numpy()[keep], "reason": reason[keep].astype(np.int32)})
 
@@ -186,33 +188,69 @@ def implausible_readings(
     else:
         joined = readings.join(scatter, "source", "left")
     joined = joined.withColumn("scatter", F.greatest(F.coalesce("scatter", least), least)).drop("source")
-    parts = _stretches(joined, readings, cfg)
-    ordered = parts.repartition("part").sortWithinPartitions("part", "at", "id")
-    found = ordered.mapInPandas(lambda it: _batches(it, cfg), "id long, reason int")
+    long = readings.groupBy("series").agg(F.count("*").alias("n")).where(F.col("n") > cfg.block).select("series")
+    hot = bounded_rows(long, 20_000)
+    if hot == []:
+        found = _whole(joined, cfg)
+    else:
+        if hot is not None:
+            long = F.broadcast(joined.sparkSession.createDataFrame(hot, long.schema))
+        found = _whole(joined.join(long, "series", "left_anti"), cfg).union(_cut(joined.join(long, "series", "left_semi"), cfg))
     return found.select(
         F.col("id").alias(key), (F.col("reason").bitwiseAND(1) > 0).alias("impossible"),
         (F.col("reason").bitwiseAND(2) > 0).alias("spike"), (F.col("reason").bitwiseAND(4) > 0).alias("stuck"),
     )
 
 
-def _stretches(joined: DataFrame, readings: DataFrame, cfg: SpikeSettings) -> DataFrame:
-    """Adds part (what is filtered together) and own (not a neighbour's reading). Only series above cfg.block are cut."""
-    spans = readings.groupBy("series").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    hot = bounded_rows(spans.where(F.col("n") > cfg.block).select("series", "n", "lo", "hi"), 20_000)
-    plain = joined.select("id", "at", "fare", "scatter", F.col("series").alias("part"), F.lit(True).alias("own"))
-    if hot == []:
-        return plain
-    long = spans.where(F.col("n") > cfg.block)
-    if hot is not None:
-        long = F.broadcast(joined.sparkSession.createDataFrame(hot, long.schema))
-    cut = joined.join(long, "series", "left")
-    width = F.greatest(((F.col("hi") - F.col("lo")) * cfg.block / F.col("n")).cast("long"), F.lit(1))
-    margin = F.least(((F.col("hi") - F.col("lo")) * cfg.halo / F.col("n")).cast("long"), width - 1)
-    offset = F.col("at") - F.col("lo")
-    home = F.floor(offset / width)
-    lists = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-        F.array_distinct(F.array(home, F.floor(F.greatest(offset - margin, F.lit(0)) / width), F.floor((offset + margin) / width)))
-    )
-    return cut.select("id", "at", "fare", "scatter", "series", F.coalesce(home, F.lit(0)).alias("home"), F.explode(lists).alias("b")).select(
+def _judged(parts: DataFrame, cfg: SpikeSettings, asked: int) -> DataFrame:
+    """(id, reason) of the parts' own readings that have a reason among those asked for."""
+    ordered = parts.repartition("part").sortWithinPartitions("part", "at", "id")
+    return ordered.mapInPandas(lambda it: _batches(it, cfg, asked), "id long, reason int")
+
+
+def _whole(joined: DataFrame, cfg: SpikeSettings) -> DataFrame:
+    """(id, reason) of series that are short enough to be judged in one piece."""
+    parts = joined.select("id", "at", "fare", "scatter", F.col("series").alias("part"), F.lit(True).alias("own"))
+    return _judged(parts, cfg, IMPOSSIBLE | SPIKE | STUCK)
+
+
+def _cut(joined: DataFrame, cfg: SpikeSettings) -> DataFrame:
+    """(id, reason) of series above cfg.block rows: their readings are judged in stretches, then given to all their rows.
+
+    Stuck values are judged with cfg.stuck - 1 readings of either neighbour, which are enough to tell any run that
+    reaches into a stretch. Spikes are judged among the possible readings alone, as in a whole series.
+    """
+    first = F.min(F.struct("id", "fare", "scatter"))
+    facts = joined.groupBy("series", "at").agg(first.alias("r")).select("series", "at", "r.fare", "r.scatter")
+    ranked = _ranked(facts)
+    facts = ranked.select("series", "at", "fare", "scatter", "rank", F.col("spot").alias("id"))
+    possible = facts.where((F.col("fare") > 0) & (F.col("fare") < cfg.filler))
+    # a whole series has the scatter of its first possible reading
+    scatter = possible.groupBy("series").agg(F.min_by("scatter", "at").alias("scatter"))
+    possible = _ranked(possible.drop("rank", "scatter")).join(scatter, "series")
+    reasons = _judged(_stretches(facts, cfg.stuck - 1, cfg), cfg, IMPOSSIBLE | STUCK).union(_judged(_stretches(possible, cfg.halo, cfg), cfg, SPIKE))
+    cases = reasons.groupBy("id").agg(F.bit_or("reason").alias("reason")).join(facts.select("id", "series", "at"), "id").drop("id")
+    return joined.select("id", "series", "at").join(cases, ["series", "at"]).select("id", "reason")
+
+
+def _ranked(readings: DataFrame) -> DataFrame:
+    """Adds spot (unique) and rank: the number of readings of the series before this one. (series, at) must be unique.
+
+    Ranges of (series, at) are sorted and counted, and the counts of the ranges before are added: no task has to sort
+    a whole series.
+    """
+    ordered = readings.repartitionByRange("series", "at").sortWithinPartitions("series", "at")
+    ordered = checkpoint(ordered.withColumn("spot", F.monotonically_increasing_id())).withColumn("range", F.shiftright("spot", 33))
+    ranges = ordered.groupBy("series", "range").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("series").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = ranges.select("series", "range", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return ordered.join(shifts, ["series", "range"]).withColumn("rank", F.col("spot") + F.col("shift")).drop("range", "shift")
+
+
+def _stretches(ranked: DataFrame, halo: int, cfg: SpikeSettings) -> DataFrame:
+    """Adds part (what is judged together: cfg.block readings and halo of either neighbour) and own (not a neighbour's reading)."""
+    home, rank = F.floor(F.col("rank") / cfg.block), F.col("rank")
+    parts = F.sequence(F.floor(F.greatest(rank - halo, F.lit(0)) / cfg.block), F.floor((rank + halo) / cfg.block))
+    return ranked.select("id", "at", "fare", "scatter", "series", home.alias("home"), F.explode(parts).alias("b")).select(
         "id", "at", "fare", "scatter", F.xxhash64("series", "b").alias("part"), (F.col("b") == F.col("home")).alias("own")
     )

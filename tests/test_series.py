@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quotemill.operators.rolling import blocks_of, distinct_facts, rolling_totals
-from quotemill.operators.spikes import SpikeSettings, implausible_readings
+from quotemill.operators.spikes import SpikeSettings, _ranked, implausible_readings
 
 D = dt.date(2026, 1, 1)
 
@@ -96,6 +96,54 @@ def test_a_long_series_is_cut_without_changing_the_result(spark):
     assert whole == cut and set(whole) == {i + 1 for i in range(50, 3000, 97)}
 
 
+def bursty(spark, fares, burst):
+    """The first `burst` readings within a day, the others a day apart."""
+    start = dt.datetime(2026, 1, 1)
+    times = [start + dt.timedelta(seconds=i) if i < burst else start + dt.timedelta(days=1 + i - burst) for i in range(len(fares))]
+    return spark.createDataFrame([(i + 1, "a", 1, t, float(f)) for i, (t, f) in enumerate(zip(times, fares))], "id long, s string, src int, at timestamp, fare double")
+
+
+def test_stuck_runs_and_spikes_at_the_borders_of_a_bursty_series(spark):
+    fares = wobble(1060, seed=11)
+    for at in (*range(252, 1000, 256), 1005, 1020, 1035, 1050):
+        fares[at : at + 8] = [4444.0 + at] * 8
+    for at in range(1000, 1060, 15):
+        fares[at] *= 2.5
+    df = bursty(spark, fares, 1000)
+    whole, cut = found(df), found(df, block=256)
+    assert whole == cut and sum(r[2] for r in whole.values()) >= 7 * 8 and sum(r[1] for r in whole.values()) >= 4
+
+
+def test_impossible_readings_at_a_border_are_no_context(spark):
+    fares = wobble(250, seed=12) + [0.0] * 150 + [x * 1.01 for x in wobble(250, seed=13)]
+    fares[249] *= 3
+    fares[400] *= 3
+    df = bursty(spark, fares, 300)
+    whole, cut = found(df), found(df, block=128)
+    assert whole == cut and whole[250] == whole[401] == (False, True, False) and whole[300] == (True, False, True)
+
+
+def test_a_long_series_loaded_again_is_cut_by_its_readings(spark):
+    fares = wobble(300, seed=14)
+    fares[130] *= 3
+    df = bursty(spark, fares, 200)
+    again = df.union(df.withColumn("id", F.col("id") + 1000)).union(df.withColumn("id", F.col("id") + 2000))
+    assert set(found(again, block=128)) == set(found(again)) == {131, 1131, 2131}
+
+
+def test_ranks_over_several_ranges(spark):
+    df = spark.range(5000).select((F.col("id") % 7 % 2).alias("series"), (F.col("id") * 7919 % 5003).alias("at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(r) for r in _ranked(df).select("series", "at", "rank", F.shiftright("spot", 33)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r[3] for r in got if r[0] == 0}) > 1
+    for series in (0, 1):
+        mine = sorted(r[1:3] for r in got if r[0] == series)
+        assert [r[1] for r in mine] == list(range(len(mine)))
+
+
 def test_few_readings_and_empty_table(spark):
     assert found(readings(spark, {"a": [100, 90000], "b": [5], "c": [None, None]})) == {}
     assert found(readings(spark, {"a": [1.0]}).limit(0)) == {}
