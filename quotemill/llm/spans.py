@@ -234,24 +234,82 @@ def shared_spans(docs: DataFrame, key: str, text: str, cfg: SpanSettings = SpanS
     return between.union(copies).union(star)
 
 
-def shared_share(docs: DataFrame, key: str, text: str, cfg: SpanSettings = SpanSettings()) -> DataFrame:
-    """(key, chars, copies, spans, shared, share): for each record, how much of its text is found in other records.
+def _stretch_windows(batches: Iterator[pd.DataFrame], cfg: SpanSettings) -> Iterator[pd.DataFrame]:
+    """(w, c, lo, hi): digest and place of each whole unitig, and of every window of cfg.least characters in the zones of a text that lies in no unitig."""
+    seen: set[int] = set()
+    columns = ["w", "c", "lo", "hi"]
+    for batch in batches:
+        rows: list[tuple[bytes, int, int, int]] = []
+        for c, text, zones, whole in zip(batch["c"].tolist(), batch["t"], batch["zones"], batch["whole"]):
+            if c in seen:
+                continue
+            seen.add(c)
 
-    A text with copies is shared as a whole. Else `shared` counts the characters of its repeated paths: neighbouring
-    edges that other texts hold, from the first anchor to the end of the last; a stretch goes up to
-    window + q characters further on either side, which are not counted. Paths too short to belong to a stretch of
-    cfg.least characters do not count. Null texts have 0 characters and share 0.
+            def add(lo: int, hi: int) -> None:
+                rows.append((hashlib.blake2b(text[lo:hi].encode("utf-8", "surrogatepass"), digest_size=16).digest(), c, lo, hi))
+
+            held = sorted((u["lo"], u["hi"]) for u in (whole if whole is not None else ()))
+            for lo, hi in held:
+                add(lo, hi)
+            x = k = 0
+            for lo, hi in sorted((z["lo"], z["hi"]) for z in zones):
+                x, last = max(x, lo), min(len(text), hi) - cfg.least
+                while x <= last:
+                    while k < len(held) and held[k][1] - cfg.least < x:
+                        k += 1
+                    if k < len(held) and held[k][0] <= x:
+                        x = held[k][1] - cfg.least + 1
+                        continue
+                    add(x, x + cfg.least)
+                    x += 1
+                    if len(rows) >= cfg.chunk // 4:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def shared_stretches(docs: DataFrame, key: str, text: str, cfg: SpanSettings) -> DataFrame:
+    """(c, covered, spans): characters of each class that lie in stretches of cfg.least characters or more which a
+    different text holds too, and the number of such stretches (those that overlap or touch are one).
+
+    Whatever two texts share from a to b, their anchors agree from a + window - 1 to b - window + 1: a path of repeated
+    edges reaches at least that far. So every window of cfg.least characters that goes no further beyond a path is
+    digested at source coordinates, and those that two texts hold are shared. Windows within a unitig lie within it in
+    every text that holds them: the unitig is digested in their place. A hot window sends one row per task.
     """
     w = Window.partitionBy("c").orderBy("lo")
-    steps = repeated_edges(docs, text, cfg).withColumn("new", F.when(F.lag("mid").over(w) == F.col("lo"), 0).otherwise(1))
+    repeated = repeated_edges(docs, text, cfg)
+    steps = repeated.withColumn("new", F.when(F.lag("mid").over(w) == F.col("lo"), 0).otherwise(1))
     paths = steps.withColumn("path", F.sum("new").over(w)).groupBy("c", "path").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    long = paths.where(F.col("hi") - F.col("lo") >= cfg.least - 2 * (cfg.window - 1) - cfg.q)
-    order = Window.partitionBy("c").orderBy("lo", "hi")
-    past = F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    covered = long.withColumn("add", F.greatest(F.col("hi") - F.greatest("lo", past), F.lit(0))).groupBy("c").agg(F.sum("add").alias("covered"), F.count("*").alias("spans"))
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("d"), F.coalesce(F.length(text), F.lit(0)).alias("chars"), F.xxhash64(text).alias("c"))
+    margin = cfg.window - 1
+    long = paths.where(F.col("hi") - F.col("lo") + 2 * margin >= cfg.least)
+    zone = F.struct(F.greatest(F.col("lo") - margin, F.lit(0)).alias("lo"), (F.col("hi") + margin).alias("hi"))
+    zones = long.groupBy("c").agg(F.collect_list(zone).alias("zones"))  # bounded by the length of one text
+    whole = unitigs(repeated).where(F.col("hi") - F.col("lo") >= cfg.least).groupBy("c").agg(F.collect_list(F.struct("lo", "hi")).alias("whole"))
+    wanted = zones.join(whole, "c", "left")
+    first = text_classes(docs, key, text, cfg.least).groupBy("c").agg(F.min("d").alias("d")).join(wanted, "c")
+    texts = docs.where(F.length(F.col(text)) >= cfg.least).select(F.col(key).cast("long").alias("d"), F.xxhash64(text).alias("c"), F.col(text).alias("t"))
+    windows = texts.join(first, ["d", "c"]).select("c", "t", "zones", "whole").mapInPandas(lambda it: _stretch_windows(it, cfg), "w binary, c long, lo int, hi int")
+    shared = windows.groupBy("w").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("w")
+    past = F.max("hi").over(Window.partitionBy("c").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
+    found = windows.join(shared, "w").select("c", "lo", "hi").distinct().withColumn("past", past)
+    return found.groupBy("c").agg(
+        F.sum(F.greatest(F.col("hi") - F.greatest("lo", "past"), F.lit(0))).alias("covered"), F.sum(F.when(F.col("lo") <= F.col("past"), 0).otherwise(1)).alias("spans")
+    )
+
+
+def shared_share(docs: DataFrame, key: str, text: str, cfg: SpanSettings = SpanSettings()) -> DataFrame:
+    """(key, chars, copies, spans, shared, share): for each record, how much of its text is found in other records.
+
+    A text with copies is shared as a whole. Else `shared` counts the characters that lie in a stretch of cfg.least
+    characters or more which a different text holds too, each once; `spans` counts these stretches. Null texts have 0
+    characters and share 0. Rows with a null key are left out, also as holders of a stretch.
+    """
+    docs = docs.where(F.col(key).isNotNull())
+    covered = shared_stretches(docs, key, text, cfg)
+    rows = docs.select(F.col(key).cast("long").alias("d"), F.coalesce(F.length(text), F.lit(0)).alias("chars"), F.xxhash64(text).alias("c"))
     copies = text_classes(docs, key, text, cfg.least).groupBy("c").agg((F.count("*") - 1).alias("copies"))
-    shared = F.when(F.col("copies") > 0, F.col("chars")).otherwise(F.least(F.coalesce("covered", F.lit(0)), F.col("chars"))).cast("long")
+    shared = F.when(F.col("copies") > 0, F.col("chars")).otherwise(F.coalesce("covered", F.lit(0))).cast("long")
     return rows.join(copies, "c", "left").join(covered, "c", "left").select(
         F.col("d").alias(key), "chars", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("spans", F.lit(0)).alias("spans"), shared.alias("shared"),
         F.when(F.col("chars") > 0, shared / F.col("chars")).otherwise(0.0).alias("share"),

@@ -99,6 +99,43 @@ def test_share(spark):
     assert got[4].share == 1.0 and got[4].copies == 1 and (got[6].chars, got[6].share) == (0, 0.0)
 
 
+def covered(docs, least):
+    """Characters and stretches of each text that other texts hold, by all windows of `least` characters."""
+    holders, out = {}, {}
+    for t in {t for _, t in docs if t}:
+        for k in range(len(t) - least + 1):
+            holders.setdefault(t[k : k + least], set()).add(t)
+    for d, t in docs:
+        inside = set()
+        for k in range(len(t or "") - least + 1):
+            if len(holders[t[k : k + least]]) > 1:
+                inside |= set(range(k, k + least))
+        out[d] = (len(inside), sum(i - 1 not in inside for i in inside))
+    return out
+
+
+def test_share_against_brute_force(spark):
+    for seed in range(3):
+        docs = list(enumerate(texts(random.Random(20 + seed), 60)))
+        docs += [(500, "x" * 200), (501, "x" * 100), (502, None), (503, "short"), (504, docs[3][1]), (505, docs[7][1][:55] + "!")]
+        want = covered(docs, 60)
+        copied = {d for d, t in docs if t and len(t) >= 60 and sum(t == u for _, u in docs) > 1}
+        got = {r.doc_id: r for r in shared_share(frame(spark, docs + [(None, docs[9][1] + "-")]).repartition(3), "doc_id", "text", SMALL).collect()}
+        assert set(got) == {d for d, _ in docs} and copied >= {3, 504}
+        for d, t in docs:
+            assert (got[d].shared, got[d].spans) == (len(t) if d in copied else want[d][0], want[d][1])
+        assert sum(r.shared > 0 for r in got.values()) > 20
+
+
+def test_texts_that_share_too_little_have_no_share(spark):
+    rng = random.Random(30)
+    fresh = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    common = [fresh(399 + n % 2) for n in range(4)]
+    docs = [(i, fresh(500) + "CD"[i % 2] + common[i // 2] + "AB"[i % 2] + fresh(500)) for i in range(8)]
+    got = {r.doc_id: (r.shared, r.spans) for r in shared_share(frame(spark, docs), "doc_id", "text").collect()}
+    assert got == {d: (400, 1) if d // 2 % 2 else (0, 0) for d, _ in docs}
+
+
 def test_empty_and_settings(spark):
     assert shared_spans(frame(spark, []), "doc_id", "text", SMALL).collect() == []
     with pytest.raises(ValueError):
