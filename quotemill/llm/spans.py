@@ -199,7 +199,7 @@ def shared_classes(docs: DataFrame, key: str, text: str, cfg: SpanSettings, path
     first = text_classes(docs, key, text, cfg.least).groupBy("c").agg(F.min("d").alias("d")).join(wanted, "c")
     texts = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).where(F.length("t") >= cfg.least)
     windows = texts.join(first, "d").select("c", "t", "starts").mapInPandas(lambda it: _windows(it, cfg), "w binary, c long, before string, behind string")
-    windows = windows.dropDuplicates(["w", "c"])
+    windows = windows.dropDuplicates(["w", "c", "before", "behind"])
     a, b = windows.alias("a"), windows.alias("b")
     meets = F.exists(
         F.sequence(F.lit(0), F.lit(step)),

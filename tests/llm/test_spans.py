@@ -114,6 +114,18 @@ def covered(docs, least):
     return out
 
 
+def test_a_window_repeated_in_one_text_keeps_every_context(spark):
+    rng = random.Random(40)
+    fresh = lambda k: "".join(rng.choice("abcdefghij") for _ in range(k))
+    docs = []
+    for n in range(12):
+        common = fresh(60)
+        near = "".join(fresh(40) + "-" + common[:59] + "+" for _ in range(6))
+        docs += [(2 * n, near + fresh(30) + common + fresh(30)), (2 * n + 1, fresh(40) + common + fresh(40))]
+    got = {tuple(r) for r in shared_spans(frame(spark, docs), "doc_id", "text", SMALL).collect()}
+    assert got == brute(docs, 60) == {(2 * n, 2 * n + 1) for n in range(12)}
+
+
 def test_share_against_brute_force(spark):
     for seed in range(3):
         docs = list(enumerate(texts(random.Random(20 + seed), 60)))
