@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +33,17 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one is set only where none is configured."""
+    """The cluster's checkpoint folder. Only a local session without one gets a temporary folder, deleted at exit."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = configured or tempfile.mkdtemp(prefix="quotemill-checkpoint-")
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="quotemill-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+    folder = configured
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
