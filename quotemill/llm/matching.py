@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.operators.pairs import BLOCK, largest_group, pairs_within
 from quotemill.runtime import bounded_rows, checkpoint
 
 #: Characters read in place of digits (fixed values of the data).
@@ -50,7 +51,7 @@ PASSES = (
     ("dep", (Rule("near number, time", number="near", minutes=0, arrival=True), Rule("time, arrival", number="none", minutes=0, arrival=True))),
 )
 #: For flights that only one source prints: their number may be a misprint.
-MISPRINTS = (*PASSES[1][1][:2], Rule("carrier, time, arrival", minutes=0, arrival=True))
+MISPRINTS = (*PASSES[1][1][:2], Rule("other number, carrier, time, arrival", minutes=0, arrival=True))
 
 
 def minutes_of(c: Column) -> Column:
@@ -198,26 +199,33 @@ def _one_name(single: DataFrame, lone: DataFrame) -> DataFrame:
     return first.join(again, "flight").select("own", F.col("name").alias("flight"))
 
 
-def _precisions(labelled: DataFrame, known: DataFrame, confirmed: DataFrame, smoothing: float) -> dict[str, float]:
-    """By rule: (right + s) / (n + 2 s) over the labelled quotes it resolves. One row of counts comes to the driver per pass."""
+def _precisions(labelled: DataFrame, single: DataFrame, known: DataFrame, confirmed: DataFrame, smoothing: float) -> dict[str, float]:
+    """By rule: (right + s) / (n + 2 s) over labelled quotes. A row of counts comes to the driver per pass.
+
+    printed: the airline's name means the printed carrier; printed once: the same among the flights of one source, as
+    none of them is labelled; named: the number and the name, with the printed carrier hidden, name the quote's own flight.
+    """
     smooth = lambda right, n: ((right or 0) + smoothing) / (n + 2 * smoothing)
-    agree = labelled.where("name is not null").agg(F.count_if(F.col("name") == F.col("code")).alias("r"), F.count("*").alias("n")).first()
-    out = dict.fromkeys(("printed", "printed once", "named"), smooth(agree.r, agree.n))
+    named = (F.count_if(F.col("name") == F.col("code")).alias("r"), F.count_if(flight_key("name") == F.col("own")).alias("k"), F.count("*").alias("n"))
+    agree, alone = (rows.where("name is not null").agg(*named).first() for rows in (labelled, single))
+    out = {"printed": smooth(agree.r, agree.n), "named": smooth(agree.k, agree.n), "printed once": smooth(alone.r, alone.n)}
     for key, rules in PASSES:
         test = candidates(labelled, known, key, rules, labelled=True).join(labelled.select("id", "own"), "id")
         counts = test.agg(*[f.alias(f"{n}{i}") for i in range(len(rules)) for f, n in ((F.count_if(F.col(f"f{i}") == F.col("own")), "r"), (F.count(f"f{i}"), "n"))]).first()
         out |= {r.name: smooth(counts[f"r{i}"], counts[f"n{i}"]) for i, r in enumerate(rules) if r.number != "near"}
-    # another confirmed flight so near a labelled one would have been taken for its misprint
-    mistaken = candidates(labelled, confirmed, "carrier", MISPRINTS[:2], labelled=True).agg(F.count("f0").alias("w0"), F.count("f1").alias("w1")).first()
+    # the number of a labelled quote is right: another confirmed flight that a rule would have taken it for is a mistake
     total = labelled.count()
-    return out | {r.name: smooth(total - mistaken[f"w{i}"], total) for i, r in enumerate(MISPRINTS[:2])}
+    for key, rules in (("carrier", MISPRINTS), ("dep", tuple(r for r in PASSES[2][1] if r.number == "near"))):
+        mistaken = candidates(labelled, confirmed, key, rules).agg(*[F.count(f"f{i}").alias(f"w{i}") for i in range(len(rules))]).first()
+        out |= {r.name: smooth(total - mistaken[f"w{i}"], total) for i, r in enumerate(rules)}
+    return out
 
 
-def match_quotes(quotes: DataFrame, airlines: DataFrame, smoothing: float = 1.0, measure: bool = True) -> DataFrame:
+def match_quotes(quotes: DataFrame, airlines: DataFrame, smoothing: float = 1.0) -> DataFrame:
     """(quote_id, source, flight, rule, confidence): the flight of every quote that names or resolves to one.
 
     confidence is the measured precision of the rule, (right + s) / (labelled quotes it resolves + 2 s) with s =
-    `smoothing`; with measure=False it is null and nothing is measured. Nulls: a quote without id or source is left
+    `smoothing`. Nulls: a quote without id or source is left
     out; missing attributes only exclude the rules that use them; a quote that no rule resolves has no flight and does
     not come out. Repeated quotes resolve alike; ties (candidates of several flights) resolve nothing. Empty tables
     give no rows; extra columns are ignored.
@@ -250,16 +258,16 @@ def match_quotes(quotes: DataFrame, airlines: DataFrame, smoothing: float = 1.0,
     done.append(named.withColumns({"flight": flight_key("name"), "rule": F.lit("named")}))
 
     out = reduce(DataFrame.unionByName, (d.select(F.col("id").alias("quote_id"), "source", "flight", "rule") for d in done))
-    if not measure:
-        return out.withColumn("confidence", F.lit(None).cast("double"))
-    precision = _precisions(labelled, known, confirmed, smoothing)
-    table = F.create_map(*[F.lit(x) for pair in precision.items() for x in pair])
-    return out.withColumn("confidence", F.coalesce(F.try_element_at(table, F.col("rule")), F.lit(0.5)))
+    precision = _precisions(labelled, strong.where("sources = 1"), known, confirmed, smoothing)
+    return out.withColumn("confidence", F.element_at(F.create_map(*[F.lit(x) for pair in precision.items() for x in pair]), F.col("rule")))
 
 
 def matched_pairs(matched: DataFrame) -> DataFrame:
-    """(quote_id_a, quote_id_b, confidence): quotes of one flight from different sources, smaller id first."""
-    a = matched.select("flight", F.col("quote_id").alias("quote_id_a"), F.col("source").alias("sa"), F.col("confidence").alias("ca"))
-    b = matched.select("flight", F.col("quote_id").alias("quote_id_b"), F.col("source").alias("sb"), F.col("confidence").alias("cb"))
-    pairs = a.join(b, "flight").where("quote_id_a < quote_id_b and sa <> sb")
-    return pairs.select("quote_id_a", "quote_id_b", (F.col("ca") * F.col("cb")).alias("confidence"))
+    """(quote_id_a, quote_id_b, confidence): quotes of one flight from different sources, smaller id first.
+
+    match_quotes is the form that grows with the quotes (a quote and its flight); pairs grow with the square of a
+    flight's quotes. A flight of more than BLOCK quotes is paired block by block, over many tasks.
+    """
+    hot = largest_group(matched, ["flight"]) > BLOCK
+    pairs = pairs_within(matched.select("flight", "quote_id", "source", "confidence"), ["flight"], "quote_id", F.col("a.source") != F.col("b.source"), BLOCK if hot else None)
+    return pairs.select(F.col("a.quote_id").alias("quote_id_a"), F.col("b.quote_id").alias("quote_id_b"), (F.col("a.confidence") * F.col("b.confidence")).alias("confidence"))

@@ -18,8 +18,7 @@ def p1_pairs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    flights = matching.match_quotes(table(spark, root, "flight_quotes"), table(spark, root, "airlines"), measure=False)
-    return matching.matched_pairs(flights).select("quote_id_a", "quote_id_b")
+    return p1_pairs(spark, root).select("quote_id_a", "quote_id_b")
 
 
 def p4_golden(spark: SparkSession, root: str) -> DataFrame:
@@ -103,6 +102,10 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return spans.shared_spans(table(spark, root, "documents"), "doc_id", "text").withColumnsRenamed({"a": "doc_id_a", "b": "doc_id_b"})
 
 
+def p9_classes(spark: SparkSession, root: str) -> DataFrame:
+    return spans.linked_classes(table(spark, root, "documents"), "doc_id", "text")
+
+
 def p9_share(spark: SparkSession, root: str) -> DataFrame:
     return spans.shared_share(table(spark, root, "documents"), "doc_id", "text")
 
@@ -157,6 +160,6 @@ QUERIES = {
     "p6_found": p6_found, "p6_residue": p6_residue,
     "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_documents": p7_documents,
     "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_edited": p8_edited,
-    "p9_found": p9_found, "p9_share": p9_share,
+    "p9_found": p9_found, "p9_classes": p9_classes, "p9_share": p9_share,
 }
 SQL = {"p4_found": P4_FOUND_SQL, "p4_precedence": P4_PRECEDENCE_SQL, "p5_certified": P5_CERTIFIED_SQL, "p7_documents": P7_DOCUMENTS_SQL}

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm.leaks import codes_of, gram_hashes
+from quotemill.operators.pairs import BLOCK, largest_group, pairs_within
 from quotemill.runtime import checkpoint
 
 BASE = 0x9E3779B97F4A7C15
@@ -40,7 +41,6 @@ class SpanSettings:
     window: int = 90  #: of so many anchors in a row one is chosen
     k: int = 2  #: tokens of an edge
     chunk: int = 400_000  #: characters handled at once
-    star: int = 100  #: classes of more copies link only their first record with others, and each copy with it
 
     def __post_init__(self):
         if self.least - self.q + 2 < (self.k + 2) * self.window or self.least % 10:
@@ -192,46 +192,59 @@ def _windows(batches: Iterator[pd.DataFrame], cfg: SpanSettings) -> Iterator[pd.
         yield pd.DataFrame(rows, columns=["w", "c", "before", "behind"])
 
 
-def shared_classes(docs: DataFrame, key: str, text: str, cfg: SpanSettings, paths: DataFrame) -> DataFrame:
-    """(ca, cb): classes of different texts that share a stretch of cfg.least characters; ca < cb."""
+def shared_classes(docs: DataFrame, key: str, text: str, cfg: SpanSettings, repeated: DataFrame) -> DataFrame:
+    """(ca, cb): classes of different texts that share a stretch of cfg.least characters; ca < cb.
+
+    Windows that more than BLOCK texts may hold are joined block by block: the same pairs, over many tasks.
+    """
     step = cfg.least // 10
-    wanted = paths.groupBy("c").agg(F.collect_set("lo").alias("starts"))  # bounded by the length of one text
+    wanted = unitigs(repeated).groupBy("c").agg(F.collect_set("lo").alias("starts"))  # bounded by the length of one text
     first = text_classes(docs, key, text, cfg.least).groupBy("c").agg(F.min("d").alias("d")).join(wanted, "c")
     texts = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).where(F.length("t") >= cfg.least)
     windows = texts.join(first, "d").select("c", "t", "starts").mapInPandas(lambda it: _windows(it, cfg), "w binary, c long, before string, behind string")
     windows = windows.dropDuplicates(["w", "c", "before", "behind"])
-    a, b = windows.alias("a"), windows.alias("b")
     meets = F.exists(
         F.sequence(F.lit(0), F.lit(step)),
         lambda k: (F.length("a.before") >= k) & (F.length("b.before") >= k) & (F.length("a.behind") >= step - k) & (F.length("b.behind") >= step - k)
         & (F.right(F.col("a.before"), k) == F.right(F.col("b.before"), k)) & (F.left(F.col("a.behind"), step - k) == F.left(F.col("b.behind"), step - k)),
     )
-    pairs = a.join(b, F.expr("a.w = b.w and a.c < b.c")).where(meets)
+    hot = largest_group(repeated, ["e"]) > BLOCK
+    pairs = pairs_within(windows, ["w"], "c", meets, BLOCK if hot else None)
     return pairs.select(F.col("a.c").alias("ca"), F.col("b.c").alias("cb")).distinct()
 
 
 def shared_spans(docs: DataFrame, key: str, text: str, cfg: SpanSettings = SpanSettings()) -> DataFrame:
     """(a, b): records whose texts hold an identical stretch of cfg.least characters; a < b.
 
-    Copies of a text are linked with each other and with whatever the text is linked with. A class of more than
-    cfg.star copies is a star: its first record is linked with the other copies and stands for them towards other
-    texts, so no link between different texts is lost and copies do not multiply. Null, empty and short texts share
-    nothing; rows with a null key are left out; a repeated key counts once. Empty table: no rows. Extra columns
-    are ignored.
+    Copies of one text are a class, and its lowest record speaks for it: it is linked with every copy (the membership of
+    the class) and with the speakers of the classes that share a stretch with it, however many copies there are. No link
+    between different texts is lost, and copies do not multiply links. `linked_classes` has the same by record.
+    Null, empty and short texts share nothing; rows with a null key are left out; a repeated key counts once.
+    Empty table: no rows. Extra columns are ignored.
     """
     members = text_classes(docs, key, text, cfg.least).distinct()
-    sizes = members.groupBy("c").agg(F.count("*").alias("n"), F.min("d").alias("first"))
-    pairs = shared_classes(docs, key, text, cfg, unitigs(repeated_edges(docs, text, cfg)))
-    inside = sizes.where("n > 1").join(members, "c")
-    star = inside.where(F.col("n") > cfg.star).where("d <> first").select(F.col("first").alias("a"), F.col("d").alias("b"))
-    few = inside.where(F.col("n") <= cfg.star).select("c", "d")
-    copies = few.select("c", F.col("d").alias("a")).join(few.select("c", F.col("d").alias("b")), "c").where("a < b").select("a", "b")
-    speak = members.join(sizes.select("c", "n", "first"), "c").where((F.col("n") <= cfg.star) | (F.col("d") == F.col("first"))).select("c", "d")
+    speakers = members.groupBy("c").agg(F.min("d").alias("first"), F.count("*").alias("n"))
+    pairs = shared_classes(docs, key, text, cfg, repeated_edges(docs, text, cfg))
+    copies = speakers.where("n > 1").join(members, "c").where("d <> first").select(F.col("first").alias("a"), F.col("d").alias("b"))
     between = (
-        pairs.join(speak.select(F.col("c").alias("ca"), F.col("d").alias("x")), "ca").join(speak.select(F.col("c").alias("cb"), F.col("d").alias("y")), "cb")
+        pairs.join(speakers.select(F.col("c").alias("ca"), F.col("first").alias("x")), "ca").join(speakers.select(F.col("c").alias("cb"), F.col("first").alias("y")), "cb")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     )
-    return between.union(copies).union(star)
+    return between.union(copies)
+
+
+def linked_classes(docs: DataFrame, key: str, text: str, cfg: SpanSettings = SpanSettings()) -> DataFrame:
+    """(key, class, copies, links): for each record the lowest record with its text, how many other records have that
+    text, and with how many different texts it shares a stretch of cfg.least characters.
+
+    One row for every record whose text is long enough, by distinct keys; nulls and empty tables as in shared_spans.
+    """
+    members = text_classes(docs, key, text, cfg.least).distinct()
+    speakers = members.groupBy("c").agg(F.min("d").alias("class"), (F.count("*") - 1).alias("copies"))
+    pairs = shared_classes(docs, key, text, cfg, repeated_edges(docs, text, cfg))
+    both = pairs.select("ca").union(pairs.select("cb")).groupBy(F.col("ca").alias("c")).agg(F.count("*").alias("links"))
+    rows = members.join(speakers, "c").join(both, "c", "left")
+    return rows.select(F.col("d").alias(key), "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def _stretch_windows(batches: Iterator[pd.DataFrame], cfg: SpanSettings) -> Iterator[pd.DataFrame]:

@@ -2,7 +2,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from quotemill.llm.matching import carrier_of_name, flight_number, match_quotes, matched_pairs, minutes_of, near, place_of
+from quotemill.llm import matching
+from quotemill.llm.matching import MISPRINTS, PASSES, carrier_of_name, flight_number, match_quotes, matched_pairs, minutes_of, near, place_of
 
 AIRLINES = [("M4", "Marigold Air"), ("M8", "Marigold Air Express"), ("T9", "Teak Aviation"), ("2L", "Lotusline")]
 DAY = dt.date(2026, 6, 1)
@@ -70,6 +71,19 @@ def test_ambiguous_candidates_resolve_nothing(spark):
     assert set(pairs(spark, rows)) == {(0, 1), (2, 3)}
 
 
+def test_a_hot_flight_is_paired_in_blocks(spark, monkeypatch):
+    rows = [quote(i, "M4", "M4 100", source=f"s{i % 3}") for i in range(60)] + [quote(99, "M4", "M4 200", "20:00", "22:00", source="s1")]
+    monkeypatch.setattr(matching, "BLOCK", 9)
+    assert set(pairs(spark, rows)) == {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 != b % 3}
+
+
+def test_every_rule_has_a_measured_precision(spark):
+    rows = [quote(i, "Marigold Air" if i % 4 else "Teak", f"M4 {100 + i // 2}", f"{i // 2 % 24:02d}:00", f"{(i // 2 + 2) % 24:02d}:00", source="ab"[i % 2]) for i in range(40)]
+    matched = match_quotes(spark.createDataFrame(rows, SCHEMA), airlines(spark))
+    names = {r.name for _, rules in PASSES for r in rules} | {r.name for r in MISPRINTS} | {"printed", "printed once", "named"}
+    assert {r.rule for r in matched.collect()} <= names and all(r.confidence == 31 / 42 for r in matched.collect())
+
+
 def test_empty(spark):
     assert pairs(spark, []) == {}
     assert match_quotes(spark.createDataFrame([quote(1, "x", "M4 1")], SCHEMA), airlines(spark).limit(0)).collect() == []

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from quotemill.llm.spans import SpanSettings, edges_of, pieces, repeated_edges, shared_share, shared_spans, sliding_minimum, unitigs
+from quotemill.llm import spans
+from quotemill.llm.spans import SpanSettings, edges_of, linked_classes, pieces, repeated_edges, shared_share, shared_spans, sliding_minimum, unitigs
 
 SMALL = SpanSettings(least=60, q=6, window=14, k=2)
 
@@ -16,6 +17,17 @@ def brute(docs, least):
     return {(a, b) for s in grams.values() for a in s for b in s if a < b}
 
 
+def spoken(docs, least):
+    """The links of brute force between the lowest records of each text, and of each of these with its copies."""
+    first = {}
+    for d, t in docs:
+        if t and len(t) >= least:
+            first[t] = min(d, first.get(t, d))
+    text = dict(docs)
+    links = {(a, b) for a, b in brute(docs, least) if text[a] != text[b] and {a, b} <= set(first.values())}
+    return links | {(first[t], d) for d, t in docs if t in first and d != first[t]}
+
+
 def texts(rng, n):
     letters = "abcdefghij ज"
     fresh = lambda k: "".join(rng.choice(letters) for _ in range(k))
@@ -67,7 +79,15 @@ def test_against_brute_force(spark):
         docs += [(500, docs[3][1]), (501, docs[3][1]), (502, None), (503, ""), (504, "x" * 200), (505, "x" * 100), (None, docs[5][1]), (7, docs[7][1])]
         df = frame(spark, docs).repartition(3)
         got = [tuple(r) for r in shared_spans(df, "doc_id", "text", SMALL).collect()]
-        assert len(got) == len(set(got)) and set(got) == brute([(d, t) for d, t in docs if d is not None], 60)
+        known = [(d, t) for d, t in docs if d is not None]
+        assert len(got) == len(set(got)) and set(got) == spoken(known, 60)
+        links = brute(known, 60)
+        text, own = dict(known), {r.doc_id: r for r in linked_classes(df, "doc_id", "text", SMALL).collect()}
+        assert set(own) == {d for d, t in known if t and len(t) >= 60}
+        for d, r in own.items():
+            with_it = {x for x in own if text[x] == text[d]}
+            assert r["class"] == min(with_it) and r.copies == len(with_it) - 1
+            assert r.links == len({text[b] if a == d else text[a] for a, b in links if d in (a, b)} - {text[d]})
         assert len(got) > 20
 
 
@@ -81,12 +101,23 @@ def test_unitigs_are_equal_stretches(spark):
     assert seen and all(len({t for _, t in x}) == 1 and len({c for c, _ in x}) > 1 for x in seen.values())
 
 
-def test_many_copies_are_a_star(spark):
+def test_copies_do_not_multiply_links(spark):
     t = "".join(random.Random(2).choice("abcdefgh") for _ in range(200))
-    docs = [(i, t) for i in range(10)] + [(50, "0123" + t[:80])]
-    cfg = SpanSettings(least=60, q=6, window=14, k=2, star=5)
-    got = {tuple(r) for r in shared_spans(frame(spark, docs), "doc_id", "text", cfg).collect()}
-    assert got == {(0, i) for i in range(1, 10)} | {(0, 50)}
+    for n in (2, 3, 10, 300):
+        docs = [(i, t) for i in range(n)] + [(900, "0123" + t[:80])]
+        got = [tuple(r) for r in shared_spans(frame(spark, docs), "doc_id", "text", SMALL).collect()]
+        assert sorted(got) == [(0, i) for i in range(1, n)] + [(0, 900)]
+
+
+def test_a_footer_of_many_texts_is_joined_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    fresh = lambda k: "".join(rng.choice("abcdefghij") for _ in range(k))
+    footer = fresh(70)
+    docs = [(i, fresh(90) + (footer if i % 3 else footer[:55])) for i in range(120)]
+    whole = {tuple(r) for r in shared_spans(frame(spark, docs), "doc_id", "text", SMALL).collect()}
+    monkeypatch.setattr(spans, "BLOCK", 7)
+    cut = [tuple(r) for r in shared_spans(frame(spark, docs), "doc_id", "text", SMALL).collect()]
+    assert len(cut) == len(set(cut)) and set(cut) == whole == {(a, b) for a in range(120) for b in range(a + 1, 120) if a % 3 and b % 3}
 
 
 def test_share(spark):
