@@ -22,7 +22,15 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_golden(spark: SparkSession, root: str) -> DataFrame:
-    return survivors.flight_survivors(*(table(spark, root, t) for t in ("reconciled_flights", "fare_observations", "source_trust")))
+    records, observations, trust = (table(spark, root, t) for t in ("reconciled_flights", "fare_observations", "source_trust"))
+    return survivors.flight_survivors(records, observations, trust).withColumn("reconciled_fare", F.col("reconciled_fare").cast("double"))
+
+
+def p4_undated(spark: SparkSession, root: str) -> DataFrame:
+    """The survivors if a third of the records had no time: their place is what the other two thirds teach."""
+    records, observations, trust = (table(spark, root, t) for t in ("reconciled_flights", "fare_observations", "source_trust"))
+    records = records.withColumn("reconciled_at", F.when(F.col("record_id") % 3 != 0, F.col("reconciled_at")))
+    return survivors.flight_survivors(records, observations, trust).select(*survivors.GROUP, "records", "best_record", "scheduled_departure_time", "selected_source_id")
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -129,14 +137,17 @@ grouped AS (
   FROM cleaned)
 """
 
-P4_FOUND_SQL = _GROUPED + """,
+_SCORED = _GROUPED + """,
 scored AS (
-  SELECT g.*, CASE WHEN fn IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN dep IS NOT NULL THEN 1 ELSE 0 END
+  SELECT g.*, o.observation_id, t.source_id AS src, CASE WHEN fn IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN dep IS NOT NULL THEN 1 ELSE 0 END
       + CASE WHEN cb IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN reconciled_fare > 0 THEN 1 ELSE 0 END
       + CASE WHEN o.observation_id IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN t.source_id IS NOT NULL THEN 1 ELSE 0 END
       + CASE WHEN len(sources_represented) > 0 THEN 1 ELSE 0 END AS u, coalesce(t.trust_rank, 1000000) AS r
   FROM grouped g LEFT JOIN fare_observations o ON o.observation_id = g.selected_observation_id
-  LEFT JOIN source_trust t ON t.source_id = g.selected_source_id),
+  LEFT JOIN source_trust t ON t.source_id = g.selected_source_id)
+"""
+
+P4_FOUND_SQL = _SCORED + """,
 tops AS (
   SELECT *, count(*) OVER w AS n, max(u) OVER w AS mu, max(reconciled_at) OVER w AS mt, min(r) OVER w AS mr FROM scored
   WINDOW w AS (PARTITION BY airline_id, g_flight, route_id, travel_date, g_cabin)),
@@ -146,6 +157,64 @@ great AS (
 SELECT record_id FROM great WHERE c = 1
 """
 
+_NAMED = "airline_id::VARCHAR AS airline_id, g_flight, route_id::VARCHAR AS route_id, strftime(travel_date, '%Y-%m-%d') AS travel_date, g_cabin"
+
+
+def _latest(value: str, name: str) -> str:
+    return f"arg_max({value}, (reconciled_at, -r, u, -record_id)) FILTER (WHERE {value} IS NOT NULL) AS {name}"
+
+
+P4_GOLDEN_SQL = _SCORED + f""",
+facts AS (
+  SELECT *, upper(regexp_replace(fn, '^([A-Za-z][0-9]|[0-9][A-Za-z]|[A-Za-z][A-Za-z])[\\s-]*', '\\1 ')) AS v_flight, CASE WHEN cb IS NOT NULL THEN g_cabin END AS v_cabin,
+    CASE WHEN reconciled_fare > 0 THEN reconciled_fare::DOUBLE END AS v_fare, CASE WHEN len(sources_represented) > 0 THEN sources_represented END AS v_sources FROM scored),
+tops AS (
+  SELECT airline_id, g_flight, route_id, travel_date, g_cabin, count(*) AS n, max(u) AS mu, max(reconciled_at) AS mt, min(r) AS mr, {_latest("v_flight", "flight_number")}, {_latest("dep", "scheduled_departure_time")},
+    {_latest("v_cabin", "cabin_class")}, {_latest("v_fare", "reconciled_fare")}, {_latest("observation_id", "selected_observation_id")}, {_latest("src", "selected_source_id")}, {_latest("v_sources", "sources_represented")}
+  FROM facts GROUP BY ALL),
+great AS (
+  SELECT t.airline_id, t.g_flight, t.route_id, t.travel_date, t.g_cabin, min(record_id) AS record_id FROM tops t JOIN scored s ON (t.airline_id, t.g_flight, t.route_id, t.travel_date, t.g_cabin) IS NOT DISTINCT FROM (s.airline_id, s.g_flight, s.route_id, s.travel_date, s.g_cabin)
+  WHERE n > 1 AND u = mu AND reconciled_at = mt AND r = mr GROUP BY ALL HAVING count(*) = 1)
+SELECT t.airline_id::VARCHAR AS airline_id, t.g_flight, t.route_id::VARCHAR AS route_id, strftime(t.travel_date, '%Y-%m-%d') AS travel_date, t.g_cabin, n AS records, mu AS usable_values, record_id AS best_record,
+  flight_number, scheduled_departure_time, cabin_class, reconciled_fare, selected_observation_id, selected_source_id, sources_represented
+FROM tops t LEFT JOIN great g ON (t.airline_id, t.g_flight, t.route_id, t.travel_date, t.g_cabin) IS NOT DISTINCT FROM (g.airline_id, g.g_flight, g.route_id, g.travel_date, g.g_cabin)
+"""
+
+P4_UNDATED_SQL = _SCORED + f""",
+x AS (
+  SELECT *, CASE WHEN record_id % 3 <> 0 THEN epoch_us(reconciled_at) END AS ts, dense_rank() OVER (ORDER BY airline_id, g_flight, route_id, travel_date, g_cabin) AS g FROM scored),
+steps AS (
+  SELECT dep, src::VARCHAR AS s, lag(dep) OVER w AS dep0, lag(src::VARCHAR) OVER w AS s0 FROM x WHERE ts IS NOT NULL
+  WINDOW w AS (PARTITION BY g ORDER BY ts, dep NULLS FIRST, src::VARCHAR NULLS FIRST)),
+moves AS (SELECT 'dep' AS field, dep0 AS old, dep AS new FROM steps WHERE dep0 <> dep UNION ALL SELECT 'src', s0, s FROM steps WHERE s0 <> s),
+net AS (SELECT field, least(old, new) AS a, greatest(old, new) AS b, sum(CASE WHEN old < new THEN 1 ELSE -1 END) AS n FROM moves GROUP BY ALL),
+edges AS (SELECT field, CASE WHEN n > 0 THEN a ELSE b END AS old, CASE WHEN n > 0 THEN b ELSE a END AS new, abs(n) AS n FROM net WHERE n <> 0),
+v AS (SELECT g, record_id, ts, 'dep' AS field, dep AS value FROM x WHERE dep IS NOT NULL UNION ALL SELECT g, record_id, ts, 'src', src::VARCHAR FROM x WHERE src IS NOT NULL),
+held AS (SELECT g, field, value, max(ts) AS held FROM v WHERE ts IS NOT NULL GROUP BY ALL),
+among AS (
+  SELECT g, field, arg_max(value, (held, value)) AS value, TRUE AS dated FROM held GROUP BY g, field
+  UNION ALL SELECT DISTINCT g, field, value, FALSE FROM v WHERE ts IS NULL AND NOT EXISTS (SELECT 1 FROM held h WHERE h.g = v.g AND h.field = v.field AND h.value = v.value)),
+pairs AS (SELECT p.g, p.field, p.value AS old, q.value AS new, e.n FROM among p JOIN edges e ON e.field = p.field AND e.old = p.value JOIN among q ON q.g = p.g AND q.field = p.field AND q.value = e.new),
+degrees AS (
+  SELECT a.*, coalesce((SELECT sum(n) FROM pairs p WHERE p.g = a.g AND p.field = a.field AND p.old = a.value), 0) AS o,
+    coalesce((SELECT sum(n) FROM pairs p WHERE p.g = a.g AND p.field = a.field AND p.new = a.value), 0) AS i FROM among a),
+ranked AS (SELECT *, CASE WHEN min(o) OVER w = 0 THEN o = 0 ELSE i - o = max(i - o) OVER w END AS latest FROM degrees WINDOW w AS (PARTITION BY g, field)),
+placed AS (
+  SELECT v.g, v.record_id, max(h.held) AS held, bool_and(r.latest) AS latest, coalesce(bool_or(b.dated), FALSE) AS beaten FROM v LEFT JOIN held h ON h.g = v.g AND h.field = v.field AND h.value = v.value
+  LEFT JOIN ranked r ON r.g = v.g AND r.field = v.field AND r.value = v.value AND NOT r.dated LEFT JOIN ranked b ON b.g = v.g AND b.field = v.field AND b.dated AND NOT b.latest
+  WHERE v.ts IS NULL GROUP BY ALL),
+ends AS (SELECT g, min(ts) AS lo, max(ts) AS hi FROM x GROUP BY g),
+ordered AS (
+  SELECT x.*, coalesce(ts, held, CASE WHEN NOT latest THEN coalesce(lo, 0) - 1 WHEN latest AND hi IS NULL THEN 0 WHEN latest AND beaten THEN hi + 1 END) AS ord
+  FROM x JOIN ends e USING (g) LEFT JOIN placed p ON p.record_id = x.record_id),
+tops AS (
+  SELECT g, count(*) AS records, max(u) AS mu, max(ord) AS mt, min(r) AS mr, arg_max(dep, (coalesce(ord, -1e18::BIGINT), -r, u, -record_id)) FILTER (WHERE dep IS NOT NULL) AS scheduled_departure_time,
+    arg_max(src, (coalesce(ord, -1e18::BIGINT), -r, u, -record_id)) FILTER (WHERE src IS NOT NULL) AS selected_source_id FROM ordered GROUP BY g),
+great AS (SELECT g, min(record_id) AS best_record FROM ordered JOIN tops USING (g) WHERE records > 1 AND u = mu AND r = mr AND coalesce(ord = mt, TRUE) GROUP BY g HAVING count(*) = 1),
+names AS (SELECT g, {_NAMED} FROM x GROUP BY ALL)
+SELECT airline_id, g_flight, route_id, travel_date, g_cabin, records, best_record, scheduled_departure_time, selected_source_id FROM names JOIN tops USING (g) LEFT JOIN great USING (g)
+"""
+
 P4_PRECEDENCE_SQL = _GROUPED + """,
 steps AS (
   SELECT dep AS new, lag(dep) OVER (PARTITION BY airline_id, g_flight, route_id, travel_date, g_cabin ORDER BY reconciled_at, dep NULLS FIRST) AS old
@@ -155,11 +224,11 @@ SELECT 'departure' AS field, old, new, count(*) AS n FROM steps WHERE old <> new
 
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_flights": p1_flights,
-    "p4_found": p4_found, "p4_golden": p4_golden, "p4_precedence": p4_precedence,
+    "p4_found": p4_found, "p4_golden": p4_golden, "p4_undated": p4_undated, "p4_precedence": p4_precedence,
     "p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p5_certified": p5_certified,
     "p6_found": p6_found, "p6_residue": p6_residue,
     "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_documents": p7_documents,
     "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_edited": p8_edited,
     "p9_found": p9_found, "p9_classes": p9_classes, "p9_share": p9_share,
 }
-SQL = {"p4_found": P4_FOUND_SQL, "p4_precedence": P4_PRECEDENCE_SQL, "p5_certified": P5_CERTIFIED_SQL, "p7_documents": P7_DOCUMENTS_SQL}
+SQL = {"p4_found": P4_FOUND_SQL, "p4_golden": P4_GOLDEN_SQL, "p4_undated": P4_UNDATED_SQL, "p4_precedence": P4_PRECEDENCE_SQL, "p5_certified": P5_CERTIFIED_SQL, "p7_documents": P7_DOCUMENTS_SQL}
