@@ -1,19 +1,20 @@
 """Filling containers of fixed capacity with whole texts, by variable-capacity best fit (problem 7).
 
 Texts are measured in tokens where they are read and packed in the same task, with no shuffle: a task holds two
-numbers per text, and its containers depend on its part of the input alone, so a lost task gives the same ones
-again. Per task at most a container or two stay badly filled.
-
-Items are taken in falling size. Each goes into the open container that it fills best; if none has room, a container of
-the size is opened that costs least: the capacity per item that can still be expected to be filled. At the end
-every container shrinks to the smallest permitted size that holds its contents. Only an item above the largest size is
-split: into full containers and a remainder, which is packed like an item.
+numbers per text of its part of the input (spark.sql.files.maxPartitionBytes), and its containers depend on that part
+alone, so a lost task gives the same ones again. Per task at most a container or two stay badly filled.
+
+The largest item left opens a container, and the container takes, again and again, the item that leaves it the least
+room. Which of the permitted sizes is opened is decided by trying them all on the items left: the least cost per
+token that the container would really hold. The cost of a container of p tokens is p (1 + p / REACH), as attention
+costs the square of the length, and WASTE for each token of room: no size is taken that leaves more room than another
+can spare. At the end every container shrinks to the smallest permitted size that holds its contents.
+Only an item above the largest size is split: into full containers and a remainder, which is packed like an item.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -63,39 +64,83 @@ def count_tokens(text: str | None, vocabulary: str = VOCABULARY) -> int:
     return sum(len(encode(part)) for part in stretches(text)) if text else 0
 
 
+#: Length at which attention costs as much as all the rest.
+REACH = 24_576
+#: Cost of a token of room, in tokens.
+WASTE = 64.0
+
+
+class _Stock:
+    """Items left by size; the largest size of at most x is found in nearly constant time, as sizes only run out."""
+
+    def __init__(self, sizes: Sequence[int], largest: int):
+        self.items: dict[int, list[int]] = {}
+        for i in range(len(sizes) - 1, -1, -1):
+            self.items.setdefault(sizes[i], []).append(i)
+        self.below = list(range(-1, largest))  # by size + 1: a size that is there, or one to go on from
+        for s in self.items:
+            self.below[s + 1] = s + 1
+        self.below[0] = 0
+
+    def fit(self, x: int) -> int:
+        """The largest size of at most x, -1 if there is none."""
+        at, below = x + 1, self.below
+        root = at
+        while below[root] != root:
+            root = below[root]
+        while below[at] != root:
+            below[at], at = root, below[at]
+        return root - 1
+
+    def fill(self, room: int) -> list[tuple[int, int]]:
+        """[(size, number)]: what a container takes that always takes the item that leaves the least room."""
+        took = []
+        s = self.fit(room)
+        while s > 0:
+            n = min(len(self.items[s]), room // s)
+            took.append((s, n))
+            room -= n * s
+            s = self.fit(min(s - 1, room))
+        return took
+
+    def take(self, size: int) -> int:
+        items = self.items[size]
+        i = items.pop()
+        if not items:
+            del self.items[size]
+            self.below[size + 1] = size
+        return i
+
+
+def cost(capacity: int, held: int) -> float:
+    """Cost of a container by token it holds."""
+    return (capacity * (1 + capacity / REACH) + WASTE * (capacity - held)) / held
+
+
 def best_fit(sizes: Sequence[int], capacities: Sequence[int]) -> list[tuple[int, list[int]]]:
     """[(capacity, items)]: a packing of items (by index, each at most the largest capacity) into permitted containers.
 
-    Falling sizes, each into the container with the least room that suffices. Containers are opened at the size
-    with the least cost per item token: an opened container counts as filled but for the share that the items
-    still to come cannot fill. Finally every container shrinks to fit.
+    Items of equal size keep their order; items without a token lie in the first container, in one of the least
+    capacity if there is no other. Of containers that cost the same the smaller one is opened.
     """
     permitted = sorted(set(capacities))
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    left = sum(sizes)
-    rooms: list[tuple[int, int]] = []  # (room, container), sorted
-    used: list[int] = []
-    caps: list[int] = []
-    items: list[list[int]] = []
-    for i in order:
-        size = sizes[i]
-        at = bisect_left(rooms, (size, -1))
-        if at < len(rooms):
-            room, c = rooms.pop(at)
-        else:
-            # what a container of this size would hold at best, against what it costs
-            c = len(caps)
-            cap = min((p for p in permitted if p >= size), key=lambda p: ((p - min(p, left)) / p, -p))
-            room = cap
-            caps.append(cap)
-            used.append(0)
-            items.append([])
-        items[c].append(i)
-        used[c] += size
-        left -= size
-        if room > size:
-            insort(rooms, (room - size, c))
-    return [(min(p for p in permitted if p >= u), x) for u, x in zip(used, items)]
+    if max(sizes, default=0) > permitted[-1]:
+        raise ValueError("an item is larger than every container")
+    stock = _Stock(sizes, permitted[-1] + 1)
+    empty = stock.items.pop(0, [])[::-1]
+    stock.below[1] = 0
+    out: list[tuple[int, list[int]]] = []
+    while (largest := stock.fit(permitted[-1])) > 0:
+        trials = [stock.fill(p) for p in permitted if p >= largest]
+        held = [sum(s * n for s, n in trial) for trial in trials]
+        best = min(range(len(trials)), key=lambda i: (cost(permitted[len(permitted) - len(trials) + i], held[i]), i))
+        items = [stock.take(s) for s, n in trials[best] for _ in range(n)]
+        out.append((min(p for p in permitted if p >= held[best]), items))
+    if empty:
+        if not out:
+            out.append((permitted[0], []))
+        out[0][1].extend(empty)
+    return out
 
 
 def _pack_rows(ids: list[int], tokens: list[int], pack: int, capacities: Sequence[int], task: str) -> pd.DataFrame:

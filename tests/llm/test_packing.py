@@ -20,6 +20,19 @@ def test_best_fit_holds_everything_and_is_near_the_bound():
         assert sum(sizes) / sum(c for c, _ in packed) > 0.985
 
 
+def test_sizes_are_optimised_jointly():
+    rng = random.Random(4)
+    sizes = [min(int(rng.lognormvariate(6, 1)) + 1, 8192) for _ in range(4000)]
+    room = lambda packed: 1 - sum(sizes) / sum(c for c, _ in packed)
+    joint = best_fit(sizes, [512, 1024, 2048, 8192])
+    opened = {c: sum(x for x, _ in joint if x == c) / sum(x for x, _ in joint) for c in (512, 1024, 2048, 8192)}
+    assert all(share > 0.03 for share in opened.values())
+    assert room(joint) <= room(best_fit(sizes, [8192]))
+    # a container takes the item that leaves the least room; a size that leaves none is worth it
+    assert best_fit([6, 4, 3, 3], [10, 12]) == [(10, [0, 1]), (10, [2, 3])]
+    assert best_fit([6, 3, 3], [10, 12]) == [(12, [0, 1, 2])]
+
+
 def test_small_cases():
     assert best_fit([], [5]) == []
     assert best_fit([5, 5], [5]) == [(5, [0]), (5, [1])]
