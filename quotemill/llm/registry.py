@@ -102,7 +102,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 def p8_edited(spark: SparkSession, root: str) -> DataFrame:
     """Documents that hold twelve words of an item with at most one character changed."""
     return leaks.leaked_items(
-        table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text", leaks.LeakSettings(edits=1)
+        table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text", leaks.LeakSettings(exact=False)
     ).select("doc_id", "item_id")
 
 
