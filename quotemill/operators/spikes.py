@@ -3,8 +3,10 @@
 The logarithm of a series is a level that drifts slowly, observed with the scatter of its source: a Kalman filter
 forecasts each reading, and a reading whose standardised innovation exceeds a threshold is withheld from the
 update. Three withheld readings in a row that agree with each other are a new level, not errors: the filter starts
-again from them. The filter runs forwards and backwards; only what neither side expects is a spike. A stuck
-value is a run over which the innovations of the undisturbed series vanish: no variance at all.
+again from them. The filter runs forwards and backwards; only what neither side expects is a spike. A stuck source
+has no scatter of its own, so the filter of the stuck state has no observation noise: its forecast is the last reading.
+Where the variance of its innovations around zero vanishes over a whole window, the readings of the window are stuck.
+A reading that is not positive, or so many times the median of its source that no ticket costs as much, is impossible.
 
 Plan: one narrow shuffle by series, sorted in the JVM (it may spill), then Arrow batches in which all series of a
 batch are filtered side by side as rows of a matrix. A series is held in memory only up to BLOCK readings: longer
@@ -33,7 +35,7 @@ class SpikeSettings:
     drift: float = 0.05  #: variance of the level's daily step, as a share of the scatter's variance
     level: int = 3  #: so many agreeing withheld readings in a row are a new level
     stuck: int = 8  #: so many equal readings in a row are a stuck value
-    filler: float = 1_000_000.0  #: no ticket costs as much
+    far: float = 500.0  #: no ticket costs so many times the median of its source
     floor: float = 0.03  #: least scatter (of the logarithm) that a source is credited with
     block: int = 8192  #: longest stretch of one series in one task
     halo: int = 64  #: possible readings of either neighbouring stretch, by rank
@@ -41,7 +43,7 @@ class SpikeSettings:
 
 
 def source_scatter(readings: DataFrame) -> DataFrame:
-    """(source, scatter): robust standard deviation of log fares around their level, by source.
+    """(source, scatter, median): robust standard deviation of log fares around their level, and median fare, by source.
 
     From the median size of the changes between neighbouring readings of a series, without the unchanged ones:
     a source that keeps its price for days would else have none. Series are cut every 30 days, so that no task sorts
@@ -49,8 +51,9 @@ def source_scatter(readings: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("series", F.floor(F.col("at") / (30 * 86_400_000_000))).orderBy("at", "id")
     step = F.abs(F.ln("fare") - F.ln(F.lag("fare").over(w)))
-    steps = readings.where("fare > 0").select("source", step.alias("step")).where("step > 1e-9")
-    return steps.groupBy("source").agg((F.percentile_approx("step", 0.5, 1000) / (0.6745 * 2**0.5)).alias("scatter"))
+    steps = readings.where("fare > 0").select("source", "fare", step.alias("step"))
+    scatter = F.percentile_approx(F.when(F.col("step") > 1e-9, F.col("step")), 0.5, 1000) / (0.6745 * 2**0.5)
+    return steps.groupBy("source").agg(scatter.alias("scatter"), F.percentile_approx("fare", 0.5, 1000).alias("median"))
 
 
 def _filter(y: np.ndarray, known: np.ndarray, sigma: np.ndarray, cfg: SpikeSettings) -> np.ndarray:
@@ -90,22 +93,34 @@ def _filter(y: np.ndarray, known: np.ndarray, sigma: np.ndarray, cfg: SpikeSetti
     return flags
 
 
-def _series_cases(values: np.ndarray, starts: np.ndarray, sigma: np.ndarray, cfg: SpikeSettings, asked: int) -> np.ndarray:
+def stuck_readings(values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Which readings lie in a window of `size` readings of their series over which the innovations of the stuck state vanish."""
+    out = np.zeros(len(values), dtype=bool)
+    if size < 2 or len(values) < size:
+        return out
+    with np.errstate(all="ignore"):
+        innovation = np.diff(values)
+        innovation[starts[1:] - 1] = np.inf  # a series forecasts nothing about the next
+        variance = np.lib.stride_tricks.sliding_window_view(innovation**2, size - 1).mean(axis=1)
+    edge = np.zeros(len(values) + 1, dtype=np.int64)
+    first = np.nonzero(variance == 0)[0]
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + size, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _series_cases(values: np.ndarray, starts: np.ndarray, sigma: np.ndarray, top: np.ndarray, cfg: SpikeSettings, asked: int) -> np.ndarray:
     """Reason (0 none, 1 impossible, 2 spike, 4 stuck; those asked for) of each distinct reading; starts: first reading of each series."""
     n = len(values)
     reason = np.zeros(n, dtype=np.int8)
     if not n:
         return reason
-    impossible = ~((values > 0) & (values < cfg.filler))
+    impossible = ~((values > 0) & (values < top))
     reason[impossible] |= 1
     series = np.zeros(n, dtype=np.int64)
     series[starts[1:]] = 1
     series = np.cumsum(series)
-    # stuck: runs of equal neighbours within a series
-    new = np.ones(n, dtype=bool)
-    new[1:] = (values[1:] != values[:-1]) | (series[1:] != series[:-1])
-    run = np.cumsum(new) - 1
-    reason[np.bincount(run)[run] >= cfg.stuck] |= 4
+    reason[stuck_readings(values, starts, cfg.stuck)] |= 4
     # spikes: the possible readings of each series, packed to the left of a matrix
     ok = np.nonzero(~impossible)[0]
     if not len(ok) or not asked & SPIKE:
@@ -144,7 +159,7 @@ def _batches(batches: Iterator[pd.DataFrame], cfg: SpikeSettings, asked: int) ->
         first = np.nonzero(fresh)[0]
         keys = key[first]
         starts = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
-        reason = _series_cases(rows["fare"].to_numpy()[first], starts, rows["scatter"].to_numpy()[first], cfg, asked)[reading]
+        reason = _series_cases(rows["fare"].to_numpy()[first], starts, rows["scatter"].to_numpy()[first], rows["top"].to_numpy()[first], cfg, asked)[reading]
         keep = (reason > 0) & rows["own"].to_numpy()
         return pd.DataFrame({"id": rows["id"].to_numpy()[keep], "reason": reason[keep].astype(np.int32)})
 
@@ -171,7 +186,8 @@ def implausible_readings(
     Rows of a series with the same `at` are one reading loaded again: it counts once and each of its rows comes out.
 
     Nulls: a row without value, time or key is no reading; null parts of a series name are equal to each other. A
-    series of fewer than three possible readings has no spikes; a source without any change has the least scatter.
+    series of fewer than three possible readings has no spikes; a source without any change has the least scatter, one
+    without a positive reading no limit above.
     An empty table gives no rows; other columns of any name are ignored.
     """
     name = F.xxhash64(*[F.coalesce(F.expr(c).cast("string"), F.lit("\x00")) for c in series])
@@ -181,13 +197,15 @@ def implausible_readings(
     )
     scatter = source_scatter(readings)
     rows = bounded_rows(scatter, cfg.most_sources)
-    least = F.lit(cfg.floor)
+    least, endless = F.lit(cfg.floor), F.lit(float("inf"))
     if rows is not None:
-        small = df.sparkSession.createDataFrame([(r.source, r.scatter) for r in rows], scatter.schema)
+        small = df.sparkSession.createDataFrame([(r.source, r.scatter, r.median) for r in rows], scatter.schema)
         joined = readings.join(F.broadcast(small), readings.source.eqNullSafe(small.source), "left").drop(small.source)
     else:
         joined = readings.join(scatter, "source", "left")
-    joined = joined.withColumn("scatter", F.greatest(F.coalesce("scatter", least), least)).drop("source")
+    joined = joined.select(
+        "id", "series", "at", "fare", F.greatest(F.coalesce("scatter", least), least).alias("scatter"), F.coalesce(F.col("median") * cfg.far, endless).alias("top")
+    )
     long = readings.groupBy("series").agg(F.count("*").alias("n")).where(F.col("n") > cfg.block).select("series")
     hot = bounded_rows(long, 20_000)
     if hot == []:
@@ -210,7 +228,7 @@ def _judged(parts: DataFrame, cfg: SpikeSettings, asked: int) -> DataFrame:
 
 def _whole(joined: DataFrame, cfg: SpikeSettings) -> DataFrame:
     """(id, reason) of series that are short enough to be judged in one piece."""
-    parts = joined.select("id", "at", "fare", "scatter", F.col("series").alias("part"), F.lit(True).alias("own"))
+    parts = joined.select("id", "at", "fare", "scatter", "top", F.col("series").alias("part"), F.lit(True).alias("own"))
     return _judged(parts, cfg, IMPOSSIBLE | SPIKE | STUCK)
 
 
@@ -220,11 +238,11 @@ def _cut(joined: DataFrame, cfg: SpikeSettings) -> DataFrame:
     Stuck values are judged with cfg.stuck - 1 readings of either neighbour, which are enough to tell any run that
     reaches into a stretch. Spikes are judged among the possible readings alone, as in a whole series.
     """
-    first = F.min(F.struct("id", "fare", "scatter"))
-    facts = joined.groupBy("series", "at").agg(first.alias("r")).select("series", "at", "r.fare", "r.scatter")
+    first = F.min(F.struct("id", "fare", "scatter", "top"))
+    facts = joined.groupBy("series", "at").agg(first.alias("r")).select("series", "at", "r.fare", "r.scatter", "r.top")
     ranked = _ranked(facts)
-    facts = ranked.select("series", "at", "fare", "scatter", "rank", F.col("spot").alias("id"))
-    possible = facts.where((F.col("fare") > 0) & (F.col("fare") < cfg.filler))
+    facts = ranked.select("series", "at", "fare", "scatter", "top", "rank", F.col("spot").alias("id"))
+    possible = facts.where((F.col("fare") > 0) & (F.col("fare") < F.col("top")))
     # a whole series has the scatter of its first possible reading
     scatter = possible.groupBy("series").agg(F.min_by("scatter", "at").alias("scatter"))
     possible = _ranked(possible.drop("rank", "scatter")).join(scatter, "series")
@@ -251,6 +269,6 @@ def _stretches(ranked: DataFrame, halo: int, cfg: SpikeSettings) -> DataFrame:
     """Adds part (what is judged together: cfg.block readings and halo of either neighbour) and own (not a neighbour's reading)."""
     home, rank = F.floor(F.col("rank") / cfg.block), F.col("rank")
     parts = F.sequence(F.floor(F.greatest(rank - halo, F.lit(0)) / cfg.block), F.floor((rank + halo) / cfg.block))
-    return ranked.select("id", "at", "fare", "scatter", "series", home.alias("home"), F.explode(parts).alias("b")).select(
-        "id", "at", "fare", "scatter", F.xxhash64("series", "b").alias("part"), (F.col("b") == F.col("home")).alias("own")
+    return ranked.select("id", "at", "fare", "scatter", "top", "series", home.alias("home"), F.explode(parts).alias("b")).select(
+        "id", "at", "fare", "scatter", "top", F.xxhash64("series", "b").alias("part"), (F.col("b") == F.col("home")).alias("own")
     )
