@@ -35,7 +35,7 @@ class SpikeSettings:
     drift: float = 0.05  #: variance of the level's daily step, as a share of the scatter's variance
     level: int = 3  #: so many agreeing withheld readings in a row are a new level
     stuck: int = 8  #: so many equal readings in a row are a stuck value
-    far: float = 500.0  #: no ticket costs so many times the median of its source
+    far: float = 1000.0  #: no ticket costs so many times the median of its source
     floor: float = 0.03  #: least scatter (of the logarithm) that a source is credited with
     block: int = 8192  #: longest stretch of one series in one task
     halo: int = 64  #: possible readings of either neighbouring stretch, by rank
