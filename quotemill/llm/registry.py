@@ -58,6 +58,21 @@ def p5_certified(spark: SparkSession, root: str) -> DataFrame:
     return p5_percentiles(spark, root).select("route_id", "window_id", "quantile", "n", "certified")
 
 
+def p5_by_flight(spark: SparkSession, root: str) -> DataFrame:
+    """Percentiles of each flight on its route and window: groups so small that the digests, merged over days, are exact."""
+    fares = table(spark, root, "fare_observations").withColumn("flight", F.upper(F.trim("flight_number")))
+    keys = ["route_id", "window_id", "airline_id", "flight"]
+    out = digests.certified_percentiles(fares, keys, "total_fare", part=F.to_date("observed_at"), compression=2000)
+    return out.where("n <= 600").select(*keys, "quantile", "value", "n", "rank_error")
+
+
+P5_BY_FLIGHT_SQL = """
+WITH g AS (
+  SELECT route_id, window_id, airline_id, upper(trim(flight_number)) AS flight, count(*) AS n, list_sort(list(total_fare::DOUBLE)) AS v FROM fare_observations WHERE total_fare IS NOT NULL GROUP BY ALL)
+SELECT route_id, window_id, airline_id, flight, q::DOUBLE AS quantile, v[greatest(1, ceil(q::DOUBLE * n))::INT] AS value, n, 0.0::DOUBLE AS rank_error
+FROM g CROSS JOIN (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q) WHERE n <= 600
+"""
+
 P5_CERTIFIED_SQL = """
 SELECT route_id, window_id, quantile::DOUBLE AS quantile, count(total_fare) AS n, TRUE AS certified
 FROM fare_observations CROSS JOIN (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS quantile)
@@ -225,10 +240,10 @@ SELECT 'departure' AS field, old, new, count(*) AS n FROM steps WHERE old <> new
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_flights": p1_flights,
     "p4_found": p4_found, "p4_golden": p4_golden, "p4_undated": p4_undated, "p4_precedence": p4_precedence,
-    "p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p5_certified": p5_certified,
+    "p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p5_certified": p5_certified, "p5_by_flight": p5_by_flight,
     "p6_found": p6_found, "p6_residue": p6_residue,
     "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_documents": p7_documents,
     "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_edited": p8_edited,
     "p9_found": p9_found, "p9_classes": p9_classes, "p9_share": p9_share,
 }
-SQL = {"p4_found": P4_FOUND_SQL, "p4_golden": P4_GOLDEN_SQL, "p4_undated": P4_UNDATED_SQL, "p4_precedence": P4_PRECEDENCE_SQL, "p5_certified": P5_CERTIFIED_SQL, "p7_documents": P7_DOCUMENTS_SQL}
+SQL = {"p4_found": P4_FOUND_SQL, "p4_golden": P4_GOLDEN_SQL, "p4_undated": P4_UNDATED_SQL, "p4_precedence": P4_PRECEDENCE_SQL, "p5_certified": P5_CERTIFIED_SQL, "p5_by_flight": P5_BY_FLIGHT_SQL, "p7_documents": P7_DOCUMENTS_SQL}
