@@ -84,6 +84,12 @@ def p6_residue(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue_records(table(spark, root, "diagnostic_results"), "result_id", "page_title", "alert_texts")
 
 
+def p6_clean(spark: SparkSession, root: str) -> DataFrame:
+    """What is left when the records with residue are excluded."""
+    records = table(spark, root, "diagnostic_results").select("result_id", "page_title", "alert_texts")
+    return residue.without_residue(records, "result_id", "page_title", "alert_texts").select("result_id")
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return p6_residue(spark, root).select("result_id")
 
@@ -241,7 +247,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_flights": p1_flights,
     "p4_found": p4_found, "p4_golden": p4_golden, "p4_undated": p4_undated, "p4_precedence": p4_precedence,
     "p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p5_certified": p5_certified, "p5_by_flight": p5_by_flight,
-    "p6_found": p6_found, "p6_residue": p6_residue,
+    "p6_found": p6_found, "p6_residue": p6_residue, "p6_clean": p6_clean,
     "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_documents": p7_documents,
     "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_edited": p8_edited,
     "p9_found": p9_found, "p9_classes": p9_classes, "p9_share": p9_share,

@@ -18,6 +18,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.runtime import checkpoint
+
 THRESHOLD = 0.8
 SLACK = 2  #: words that a passage may have between those of an exemplar
 
@@ -103,11 +105,11 @@ def residue_scores(texts: DataFrame, key: str, text: str, exemplars: Sequence[st
     rows = with_tokens(texts.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("_x")), "_x").drop("_x")
     if not vocabulary:
         return rows.select(F.col("k").alias(key), F.lit("").alias("exemplar"), F.lit(0.0).alias("score")).limit(0)
+    # texts are tokenised once: those with a token of an exemplar are written, the others cannot match
+    rows = checkpoint(rows.withColumn("v", _among("t", vocabulary)).where(F.size("v") > 0))
     # document frequencies over all texts, of the exemplars' tokens only
-    every = F.lit("every text")
-    seen = rows.select(F.explode(F.array_append(_among("t", vocabulary), every)).alias("w"))
-    counted = {r.w: r.n for r in seen.groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most one row per exemplar token
-    total = counted.get("every text", 0)
+    counted = {r.w: r.n for r in rows.select(F.explode("v").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most one row per exemplar token
+    total = texts.where(F.col(text).isNotNull()).count()
     idf = {v: log((total + 1) / (counted.get(v, 0) + 1)) + 1 for v in vocabulary}
     index, known = [], []
     for name, bag in parsed.items():
@@ -123,8 +125,7 @@ def residue_scores(texts: DataFrame, key: str, text: str, exemplars: Sequence[st
                 break
     asked = spark.createDataFrame(index, "w string, exemplar string")
     about = spark.createDataFrame(known, "exemplar string, ws array<string>, times array<int>, idfs array<double>, width int")
-    # no filter between: it would be pushed down and read every text twice
-    hits = rows.select("k", "t", F.explode(_among("t", sorted({t for t, _ in index}))).alias("w"))
+    hits = rows.select("k", "t", F.explode(F.array_intersect("v", F.lit(sorted({t for t, _ in index})))).alias("w"))
     # both tables are as small as the list of exemplars
     pairs = hits.join(F.broadcast(asked), "w").select("k", "t", "exemplar").join(F.broadcast(about), "exemplar")
 
@@ -144,3 +145,9 @@ def residue_records(records: DataFrame, key: str, title: str, alerts: str, thres
     """(key, exemplar, score): records whose title or an alert holds residue. Null and empty arrays hold none."""
     texts = F.concat(F.array(F.col(title)), F.coalesce(F.col(alerts), F.array().cast("array<string>")))
     return residue_scores(records.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.explode(F.array_distinct(texts)).alias("_text")), "_key", "_text", threshold=threshold).withColumnRenamed("_key", key)
+
+
+def without_residue(records: DataFrame, key: str, title: str, alerts: str, threshold: float = THRESHOLD) -> DataFrame:
+    """records without those that residue_records finds; all columns, repeated rows and rows with a null key stay."""
+    found = residue_records(records, key, title, alerts, threshold).select(F.col(key).alias("_residue"))
+    return records.join(found, F.col(key) == F.col("_residue"), "left_anti")

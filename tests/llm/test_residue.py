@@ -1,4 +1,4 @@
-from quotemill.llm.residue import EXEMPLARS, residue_records, residue_scores
+from quotemill.llm.residue import EXEMPLARS, residue_records, residue_scores, without_residue
 
 RESIDUE = [
     "{{origin}} to {{ destination }} flights", "Only ${seats} seats left", "Fares from Rs <%= paxCount %> - Site", "x {% site.title %} y", "[[a]] z", "@@ROUTE_CODE@@", "__TOCITY__ to X", "%DEPTIME%", "$ORIGIN$ not available",
@@ -29,6 +29,8 @@ def test_records(spark):
     ]
     got = residue_records(spark.createDataFrame(rows, schema), "id", "page_title", "alerts").collect()
     assert sorted(r.id for r in got) == [1, 4, 6] and all(0.8 <= r.score <= 1.0001 for r in got)
+    kept = without_residue(spark.createDataFrame(rows, schema), "id", "page_title", "alerts")
+    assert kept.columns == ["id", "page_title", "alerts", "score"] and sorted((r.id or 0) for r in kept.collect()) == [0, 2, 3, 5]
     assert residue_records(spark.createDataFrame([], schema), "id", "page_title", "alerts").collect() == []
     assert residue_scores(spark.createDataFrame([(1, "{{x}}")], "k int, t string"), "k", "t", exemplars=()).collect() == []
 
