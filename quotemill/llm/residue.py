@@ -106,7 +106,8 @@ def residue_scores(texts: DataFrame, key: str, text: str, exemplars: Sequence[st
     if not vocabulary:
         return rows.select(F.col("k").alias(key), F.lit("").alias("exemplar"), F.lit(0.0).alias("score")).limit(0)
     # texts are tokenised once and written; a filter before that would be pushed down and tokenise them twice
-    rows = checkpoint(rows.withColumn("v", _among("t", vocabulary)))
+    words = rows.withColumn("v", _among("t", vocabulary)).select("k", "v", F.when(F.size("v") > 0, F.array_join("t", " ")).alias("s"))
+    rows = checkpoint(words).withColumn("t", F.split("s", " "))
     # document frequencies over all texts, of the exemplars' tokens only
     counted = {r.w: r.n for r in rows.select(F.explode("v").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most one row per exemplar token
     total = texts.where(F.col(text).isNotNull()).count()
