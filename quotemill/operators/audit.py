@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.numbers import share
+from quotemill.functions.text import local_date
+from quotemill.operators.index import ADVANCE
 
 LOW_DATA = 5
-CHECKS = ("count_differs", "fingerprints_repeat", "invalid_fares", "source_differs", "travel_dates_differ")
+CHECKS = ("count_differs", "fingerprints_repeat", "invalid_fares", "route_differs", "window_differs", "source_differs", "travel_dates_differ")
+#: What a run may announce besides; null, or a table without the column, announces nothing.
+TARGETS = {"route": "target_route_id", "window": "target_window_id"}
 
 
 def runs_of(observations: DataFrame) -> DataFrame:
@@ -22,31 +27,81 @@ def runs_of(observations: DataFrame) -> DataFrame:
 
 
 def audit_runs(runs: DataFrame, observations: DataFrame) -> DataFrame:
-    """One row per run: its counts and fares, the checks it fails, its consistency and health. One join for all runs."""
+    """One row per run: its counts and fares, the checks it fails, its consistency and health. One join for all runs.
+
+    A run's observations must have its source, route and window, as far as it announces them. travel_date is the first
+    one observed, else the day of the run plus the days that its window means.
+    """
+    runs = runs.withColumns({c: F.lit(None).cast("int") for c in TARGETS.values() if c not in runs.columns})
     facts = observations.groupBy("run_id").agg(
         F.count("*").alias("stored"), F.count_distinct(F.nullif("fingerprint_hash", F.lit(""))).alias("fingerprints"), F.count_if(F.col("total_fare").isNull() | (F.col("total_fare") <= 0)).alias("invalid_fares"),
-        F.count_distinct("travel_date").alias("travel_dates"), F.min("data_source_id").alias("source_lo"), F.max("data_source_id").alias("source_hi"),
+        F.count_distinct("travel_date").alias("travel_dates"), F.min("data_source_id").alias("source_lo"), F.max("data_source_id").alias("source_hi"), *[f(f"{k}_id").alias(f"{k}_{n}") for k in TARGETS for f, n in ((F.min, "lo"), (F.max, "hi"))],
         F.min("total_fare").cast("double").alias("min_fare"), F.max("total_fare").cast("double").alias("max_fare"), F.round(F.avg(F.col("total_fare").cast("double")), 4).alias("mean_fare"), F.min("travel_date").alias("travel_date"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
     joined = runs.join(facts, "run_id", "left").withColumns({c: zero(F.col(c)) for c in ("stored", "fingerprints", "invalid_fares", "travel_dates")})
     done = F.col("status") == "COMPLETED"
+    other = lambda k, target: F.coalesce((F.col(f"{k}_lo") != F.col(target)) | (F.col(f"{k}_hi") != F.col(target)), F.lit(False))
     tests = {
         "count_differs": done & (F.col("records_scraped") != F.col("stored")), "fingerprints_repeat": F.col("fingerprints") != F.col("stored"), "invalid_fares": F.col("invalid_fares") > 0,
-        "source_differs": F.coalesce((F.col("source_lo") != F.col("source_id")) | (F.col("source_hi") != F.col("source_id")), F.lit(False)), "travel_dates_differ": F.col("travel_dates") > 1,
+        **{f"{k}_differs": other(k, c) for k, c in TARGETS.items()}, "source_differs": other("source", "source_id"), "travel_dates_differ": F.col("travel_dates") > 1,
     }
     failed = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
     health = (
         F.when(F.col("status") == "FAILED", "FAILED").when(done & (F.col("records_scraped") == 0) & (F.col("stored") == 0), "NO_INVENTORY")
         .when(done & (F.col("stored") > 0) & (F.col("stored") < LOW_DATA), "SUCCESS_WITH_LOW_DATA").when(done & (F.col("stored") > 0), "SUCCESS").otherwise("FAILED")
     )
+    days = F.element_at(F.create_map(*[F.lit(x) for pair in ADVANCE.items() for x in pair]), F.col("target_window_id").cast("int"))
     return joined.select(
-        "run_id", "source_id", "records_scraped", "stored", "fingerprints", "travel_dates", "min_fare", "max_fare", "mean_fare", F.array_join(failed, "; ").alias("notes"),
+        "run_id", "source_id", *TARGETS.values(), F.coalesce("travel_date", F.date_add(local_date("started_at"), days)).alias("travel_date"), "records_scraped", "stored", "fingerprints", "travel_dates", "min_fare", "max_fare", "mean_fare", F.array_join(failed, "; ").alias("notes"),
         F.when(F.size(failed) == 0, "CONSISTENT").otherwise("INCONSISTENT").alias("consistency"), health.alias("health"),
         (F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")).alias("seconds"),
     )
 
 
+def runs_on(runs: DataFrame, day: str, zone: str = "UTC", sources: Sequence[int] | None = None) -> DataFrame:
+    """The runs that started on a local day, [start, end) as instants, so that the filter reaches the scan; of given sources, if any."""
+    start, end = (F.to_utc_timestamp(F.lit(d).cast("timestamp"), zone) for d in (day, str(dt.date.fromisoformat(day) + dt.timedelta(days=1))))
+    out = runs.where((F.col("started_at") >= start) & (F.col("started_at") < end))
+    return out if sources is None else out.where(F.col("source_id").isin(*sources))
+
+
+def with_labels(audits: DataFrame, sources: DataFrame, routes: DataFrame, windows: DataFrame) -> DataFrame:
+    """audits with the codes of their source, route and window, UNKNOWN where there is none."""
+    out = audits
+    for rows, key, code, mine in ((sources, "source_id", "source_code", "source_id"), (routes, "route_id", "route_code", "target_route_id"), (windows, "window_id", "window_code", "target_window_id")):
+        out = out.join(rows.select(F.col(key).alias(mine), code), mine, "left").withColumn(code, F.coalesce(code, F.lit("UNKNOWN")))
+    return out
+
+
+def durations(audits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """runs, mean, median, least and most seconds."""
+    s = F.col("seconds").cast("double")
+    return audits.groupBy(*keys).agg(F.count("seconds").alias("runs"), F.round(F.avg(s), 4).alias("mean"), F.median(s).alias("median"), F.min(s).alias("least"), F.max(s).alias("most"))
+
+
+def source_split(observations: DataFrame, key: str, sources: DataFrame) -> DataFrame:
+    """By route or window: rows of airlines' own sources and of agencies, tasks (runs) and rows per task."""
+    typed = observations.join(sources.select(F.col("source_id").alias("data_source_id"), "source_type"), "data_source_id", "left")
+    n = lambda kind: F.count_if(F.col("source_type") == kind)
+    out = typed.groupBy(key).agg(n("AIRLINE_DIRECT").alias("direct"), n("OTA").alias("ota"), F.count("*").alias("rows"), F.count_distinct("run_id").alias("tasks"))
+    return out.withColumn("rows_per_task", F.round(F.col("rows") / F.col("tasks"), 4))
+
+
+def route_status(observations: DataFrame, windows: Sequence[int], least: int = 5) -> DataFrame:
+    """By route: SUCCESS if each of the windows has `least` rows, PARTIAL if any has a row, else FAILED."""
+    cells = [F.count_if(F.col("window_id") == w).alias(f"w{w}") for w in windows]
+    out = observations.groupBy("route_id").agg(*cells)
+    full = F.least(*[F.col(f"w{w}") for w in windows]) if len(windows) > 1 else F.col(f"w{windows[0]}")
+    some = sum((F.col(f"w{w}") for w in windows), start=F.lit(0))
+    return out.withColumn("state", F.when(full >= least, "SUCCESS").when(some > 0, "PARTIAL").otherwise("FAILED"))
+
+
+def readiness(failures: Column, few: int = 5) -> Column:
+    """READY without failures, READY_WITH_WARNINGS with a few, else NOT_READY."""
+    return F.when(failures == 0, "READY").when(failures <= few, "READY_WITH_WARNINGS").otherwise("NOT_READY")
+
+
 def batch_summary(audits: DataFrame) -> DataFrame:
     """One row: totals, rates (0 for no runs) and the mean duration."""
     count = lambda value: F.count_if(F.col("health") == value)

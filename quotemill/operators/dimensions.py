@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.runtime import bounded_rows
+from quotemill.runtime import bounded_rows, checkpoint
 
 
 def nearest_window(df: DataFrame, windows: DataFrame, days: str = "advance_days") -> DataFrame:
@@ -27,15 +27,25 @@ def nearest_window(df: DataFrame, windows: DataFrame, days: str = "advance_days"
     return df.withColumns({"nearest_window_id": F.when(known, near["id"]), "nearest_window_code": F.when(known, near["code"])})
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """df with `name`: 1, 2, ... in the given order. Ranges are sorted and counted, so that no task has all rows."""
+    ranges = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_spot", F.monotonically_increasing_id()))
+    ranges = ranges.withColumn("_range", F.shiftright("_spot", 33))
+    counts = ranges.groupBy("_range").agg(F.count("*").alias("n"))  # one row per task
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = F.broadcast(counts.select("_range", before.alias("_before")))
+    place = F.col("_before") + F.col("_spot").bitwiseAND((1 << 33) - 1) + 1
+    return ranges.join(shifts, "_range").withColumn(name, place).drop("_range", "_spot", "_before")
+
+
 def get_or_create(facts: DataFrame, dimension: DataFrame, code: str, key: str) -> DataFrame:
     """dimension plus a row for each code of `facts` that it lacks (case and outer blanks aside), with dense new keys."""
     asked = facts.select(F.upper(F.trim(code)).alias(code)).where(F.coalesce(code, F.lit("")) != "").distinct()
     there = dimension.select(F.upper(F.trim(code)).alias("_code"))
     missing = asked.join(there, asked[code] == there["_code"], "left_anti")
     top = dimension.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    # new codes are few against the facts; only they are numbered
-    fresh = missing.crossJoin(F.broadcast(top)).select((F.col("_top") + F.row_number().over(Window.partitionBy("_top").orderBy(code))).cast(dimension.schema[key].dataType).alias(key), code)
-    return dimension.unionByName(fresh, allowMissingColumns=True)
+    fresh = numbered(missing, [code], "_n").crossJoin(F.broadcast(top))  # one row: the largest key
+    return dimension.unionByName(fresh.select((F.col("_top") + F.col("_n")).cast(dimension.schema[key].dataType).alias(key), code), allowMissingColumns=True)
 
 
 def undirected_pairs(routes: DataFrame, a: str = "origin_city_id", b: str = "destination_city_id") -> DataFrame:

@@ -1,4 +1,7 @@
-"""The index chain: daily summaries, relatives to a base, means over windows and routes, calendar rollups, errors."""
+"""The index chain: daily summaries, relatives to a base, means over windows and routes, calendar rollups, errors.
+
+Values are rounded half to even, weights half up.
+"""
 
 from __future__ import annotations
 
@@ -42,21 +45,25 @@ def daily_summary(df: DataFrame, policy: str = "MIN", metric: str = "GEOMETRIC",
     Cohorts with several travel dates are left out. is_imputed says that there are fewer than `least` flights.
     """
     cohort = ["observation_date", "route_id", "window_id"]
-    # the cohort is part of the flight's key: partitioned by it once, both groupings need no further shuffle
-    rows = usable(df, zone).repartition(*cohort)
-    flights = reconcile(rows, policy, ["observation_date", "window_id"]).withColumn("x", F.col("reconciled_fare").cast("double"))
+    # quotes combine to flights before the first shuffle; only flights go on to their cohort
+    flights = reconcile(usable(df, zone), policy, ["observation_date", "window_id"]).withColumn("x", F.col("reconciled_fare").cast("double"))
     stats = flights.groupBy(*cohort).agg(
         F.min("travel_date").alias("target_travel_date"), F.max("travel_date").alias("_last"), F.count("*").alias("observations_count"), F.min("x").alias("min_fare"),
         F.median("x").alias("median_fare"), F.avg("x").alias("mean_fare"), geometric_mean("x").alias("geometric_mean_fare"),
     ).where("target_travel_date = _last").drop("_last")
-    rounded = stats.withColumns({c: F.round(c, digits) for c in ("min_fare", "median_fare", "mean_fare", "geometric_mean_fare")})
+    rounded = stats.withColumns({c: F.bround(c, digits) for c in ("min_fare", "median_fare", "mean_fare", "geometric_mean_fare")})
     return rounded.select("*", F.col(METRICS.get(metric, METRICS["GEOMETRIC"])).alias("representative_fare"), (F.col("observations_count") < least).alias("is_imputed"))
 
 
 def base_fares(summary: DataFrame, until: str, digits: int = 2) -> DataFrame:
-    """route_id, window_id, benchmark_fare, sample_size: median representative fare of the days before `until`."""
+    """route_id, window_id, benchmark_fare, sample_size: median representative fare of the days before `until`.
+
+    In whole hundredths of a cent, so that the mean of two fares, and its rounding, is exact.
+    """
+    exact = F.median((F.col("representative_fare") * 10_000).cast("bigint"))
+    median = exact / 10_000 if digits >= 4 else F.bround(exact / 10 ** (4 - digits), 0) / 10**digits
     return summary.where(F.col("observation_date") < F.lit(until).cast("date")).groupBy("route_id", "window_id").agg(
-        F.round(F.median(F.col("representative_fare").cast("double")), digits).alias("benchmark_fare"), F.count("*").alias("sample_size")
+        median.alias("benchmark_fare"), F.count("*").alias("sample_size")
     )
 
 
@@ -65,7 +72,7 @@ def price_relatives(summary: DataFrame, base: DataFrame, digits: int = 6) -> Dat
     joined = summary.join(base.where("benchmark_fare > 0").select("route_id", "window_id", "benchmark_fare"), ["route_id", "window_id"])
     return joined.select(
         F.col("observation_date").alias("index_date"), "route_id", "window_id",
-        F.round(F.col("representative_fare").cast("double") / F.col("benchmark_fare").cast("double") * 100, digits).alias("price_relative"),
+        F.bround(F.col("representative_fare").cast("double") / F.col("benchmark_fare").cast("double") * 100, digits).alias("price_relative"),
     )
 
 
@@ -73,13 +80,13 @@ def route_index(relatives: DataFrame, weights: DataFrame | None = None, jevons:
     """Mean of the windows' relatives per date and route: arithmetic, or weighted by window, or geometric."""
     rows = relatives if weights is None else relatives.join(weights.select("window_id", "weight"), "window_id")
     mean = geometric_mean("price_relative") if jevons else F.avg("price_relative") if weights is None else weighted_mean("price_relative", "weight")
-    return rows.groupBy("index_date", "route_id").agg(F.round(mean, digits).alias("index_value"), F.count("*").alias("windows_included"))
+    return rows.groupBy("index_date", "route_id").agg(F.bround(mean, digits).alias("index_value"), F.count("*").alias("windows_included"))
 
 
 def national_index(routes: DataFrame, weights: DataFrame, digits: int = 4) -> DataFrame:
     """Weighted mean of the route indices per date, weights of the routes present made to sum to one."""
     joined = routes.join(weights.select("route_id", "weight"), "route_id")
-    return joined.groupBy("index_date").agg(F.sum("weight").alias("_w"), F.round(weighted_mean("index_value", "weight"), digits).alias("index_value"), F.count("*").alias("routes_included")).where("_w <> 0").drop("_w")
+    return joined.groupBy("index_date").agg(F.sum("weight").alias("_w"), F.bround(weighted_mean("index_value", "weight"), digits).alias("index_value"), F.count("*").alias("routes_included")).where("_w <> 0").drop("_w")
 
 
 def rollup(index: DataFrame, period: str, digits: int = 4) -> DataFrame:
@@ -87,18 +94,18 @@ def rollup(index: DataFrame, period: str, digits: int = 4) -> DataFrame:
     if period not in PERIODS:
         raise ValueError(f"unknown period {period}")
     start = F.to_date(F.date_trunc(PERIODS[period], F.col("index_date")))
-    return index.groupBy(start.alias("index_date")).agg(F.round(F.avg("index_value"), digits).alias("index_value"), F.min("routes_included").alias("routes_included"), F.count("*").alias("days")).withColumn("period_type", F.lit(period))
+    return index.groupBy(start.alias("index_date")).agg(F.bround(F.avg("index_value"), digits).alias("index_value"), F.min("routes_included").alias("routes_included"), F.count("*").alias("days")).withColumn("period_type", F.lit(period))
 
 
 def absolute_errors(index: DataFrame, benchmark: DataFrame, digits: int = 4) -> DataFrame:
     """Each period with its benchmark and percentage error; both null where there is no benchmark."""
     theirs = benchmark.select(F.col("period_start").alias("index_date"), F.col("benchmark").cast("double").alias("benchmark"))
-    return index.select("index_date", "index_value").join(theirs, "index_date", "left").withColumn("error_percent", F.round(percent_error(F.col("index_value"), F.col("benchmark")), digits))
+    return index.select("index_date", "index_value").join(theirs, "index_date", "left").withColumn("error_percent", F.bround(percent_error(F.col("index_value"), F.col("benchmark")), digits))
 
 
 def mean_absolute_error(errors: DataFrame, threshold: float = 5.0, digits: int = 4) -> DataFrame:
     """One row: periods, matched, mape (null if nothing matched) and whether it is within the threshold."""
-    out = errors.agg(F.count("*").alias("periods"), F.count("error_percent").alias("matched"), F.round(F.avg("error_percent"), digits).alias("mape"))
+    out = errors.agg(F.count("*").alias("periods"), F.count("error_percent").alias("matched"), F.bround(F.avg("error_percent"), digits).alias("mape"))
     return out.withColumn("passed", F.col("mape") <= threshold)
 
 

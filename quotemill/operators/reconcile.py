@@ -32,8 +32,9 @@ def reconcile(df: DataFrame, policy: str = "MIN", more_keys: Sequence[str] = (),
         picked = rows.groupBy(*keys).agg(F.min_by(quote, order[policy]).alias("_p"), F.avg("total_fare").alias("_m"), *common)
         fare = F.bround(F.col("_m"), 2) if policy == "MEAN" else F.col("_p.fare")
         return picked.select(*keys, fare.cast("decimal(10,2)").alias("reconciled_fare"), F.col("_p.id").alias("selected_observation_id"), F.col("_p.source").alias("selected_source_id"), "all_quotes_count", "sources_represented")
-    packed = rows.groupBy(*keys).agg(F.median(F.col("total_fare").cast("double")).alias("_m"), *common)
-    fare = F.bround(F.col("_m"), 2).cast("decimal(10,2)")
+    # in whole cents: the mean of two of them is exact, and so is its rounding
+    packed = rows.groupBy(*keys).agg(F.median((F.col("total_fare") * 100).cast("bigint")).alias("_m"), *common)
+    fare = (F.bround(F.col("_m"), 0).cast("decimal(12,0)") / 100).cast("decimal(10,2)")
     named = packed.select(*[F.col(k).alias(f"_{k}") for k in keys], fare.alias("reconciled_fare"), "all_quotes_count", "sources_represented")
     near = rows.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     return near.groupBy(*keys, "reconciled_fare", "all_quotes_count", "sources_represented").agg(

@@ -145,18 +145,20 @@ for _policy, (_fare, _order) in PICKS.items():
   arg_min(data_source_id, {_order}) AS selected_source_id, count(*) AS all_quotes_count FROM src GROUP BY 1, 2, 3, 4, 5, 6"""
 
 
-@query(f"""WITH {_SOURCED} SELECT {IDENTITY_SQL}, round(avg(total_fare::DOUBLE), 4) AS mean_fare, min(observation_id) AS selected_observation_id, count(*) AS all_quotes_count FROM src GROUP BY 1, 2, 3, 4, 5, 6""")
-def reconcile_mean(spark: SparkSession, root: str) -> DataFrame:
-    rows = with_source(spark, root).where("total_fare > 0 and is_available")
-    picked = reconcile(rows, "MEAN").select(*cleaning.IDENTITY, "selected_observation_id", "all_quotes_count")
-    means = cleaning.with_identity(rows).groupBy(*cleaning.IDENTITY).agg(F.round(F.avg(F.col("total_fare").cast("double")), 4).alias("mean_fare"))
-    named = means.select(*[F.col(k).alias(f"_{k}") for k in cleaning.IDENTITY], "mean_fare")
-    return picked.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in cleaning.IDENTITY]).drop(*[f"_{k}" for k in cleaning.IDENTITY])
-
-
-@query(f"""WITH {_SOURCED} SELECT {IDENTITY_SQL}, count(*) AS all_quotes_count FROM src GROUP BY 1, 2, 3, 4, 5, 6""")
-def reconcile_median(spark: SparkSession, root: str) -> DataFrame:
-    return reconcile(with_source(spark, root).where("total_fare > 0 and is_available"), "MEDIAN").select(*cleaning.IDENTITY, "all_quotes_count")
+#: s / n in whole cents, half to even, as a fare.
+HALF_EVEN = "((s // n + CASE WHEN 2 * (s % n) > n OR (2 * (s % n) = n AND (s // n) % 2 = 1) THEN 1 ELSE 0 END) / 100.0)::DECIMAL(12,2)"
+_KEYS = "airline_id, flight, route_id, travel_date, scheduled_departure_time, cabin"
+QUERIES["reconcile_mean"] = _reconciled("MEAN")
+SQL["reconcile_mean"] = f"""WITH {_SOURCED}, q AS (SELECT {IDENTITY_SQL}, (total_fare * 100)::BIGINT AS cents, observation_id, data_source_id FROM src),
+m AS (SELECT {_KEYS}, sum(cents)::BIGINT AS s, count(*) AS n, min(observation_id) AS selected_observation_id, arg_min(data_source_id, observation_id) AS selected_source_id FROM q GROUP BY ALL)
+SELECT {_KEYS}, {HALF_EVEN}::DOUBLE AS reconciled_fare, selected_observation_id, selected_source_id, n AS all_quotes_count FROM m"""
+QUERIES["reconcile_median"] = _reconciled("MEDIAN")
+SQL["reconcile_median"] = f"""WITH {_SOURCED}, q AS (SELECT {IDENTITY_SQL}, total_fare, observation_id, data_source_id FROM src),
+l AS (SELECT {_KEYS}, list_sort(list((total_fare * 100)::BIGINT)) AS v, count(*) AS c, list({{'fare': total_fare, 'id': observation_id, 'source': data_source_id}}) AS quotes FROM q GROUP BY ALL),
+h AS (SELECT *, v[(c + 1) // 2] + v[c // 2 + 1] AS s, 2 AS n FROM l),
+m AS (SELECT *, {HALF_EVEN} AS fare FROM h), e AS (SELECT *, unnest(quotes) AS x FROM m)
+SELECT {_KEYS}, fare::DOUBLE AS reconciled_fare, arg_min(x.id, (abs(x.fare - fare), x.id)) AS selected_observation_id, arg_min(x.source, (abs(x.fare - fare), x.id)) AS selected_source_id, c AS all_quotes_count
+FROM e GROUP BY {_KEYS}, fare, c"""
 
 
 # --- the index chain ---------------------------------------------------------------------------------------------------
@@ -343,7 +345,7 @@ def audited(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {AUDIT_CTE} SELECT *, CASE WHEN notes = '' THEN 'CONSISTENT' ELSE 'INCONSISTENT' END AS consistency FROM audits")
 def run_audit(spark: SparkSession, root: str) -> DataFrame:
-    return audited(spark, root).drop("mean_fare")
+    return audited(spark, root).drop("mean_fare", "travel_date", *audit.TARGETS.values())
 
 
 @query(f"""WITH {AUDIT_CTE} SELECT count(*) AS runs, count(*) AS successful, 0::BIGINT AS no_inventory, 0::BIGINT AS failed, count(*) FILTER (WHERE notes = '') AS consistent, sum(stored)::BIGINT AS stored, round(avg(seconds), 4) AS mean_seconds,
@@ -409,9 +411,8 @@ def quality_counts(spark: SparkSession, root: str) -> DataFrame:
 
 FINGER_SQL = """concat_ws('|', upper(trim(coalesce(airline, ''))), coalesce({flight}, ''), upper(trim(origin)), upper(trim(destination)), strftime(travel_date, '%Y-%m-%d'),
   coalesce(nullif(upper(trim(departure_time[1:5])), ''), 'NONE'), coalesce(nullif(upper(trim(cabin_class)), ''), 'ECONOMY'), coalesce(nullif(upper(trim(fare_family)), ''), 'NONE'))"""
-FLIGHT_SQL = r"""CASE WHEN regexp_matches(regexp_replace(upper(trim(flight_number)), '\s+', ' ', 'g'), '^([A-Z]{2,3}|[0-9][A-Z]|[A-Z][0-9])[ ]?-?[ ]?([0-9]{1,4}[A-Z]?)$')
-  THEN regexp_replace(regexp_replace(upper(trim(flight_number)), '\s+', ' ', 'g'), '^([A-Z]{2,3}|[0-9][A-Z]|[A-Z][0-9])[ ]?-?[ ]?([0-9]{1,4}[A-Z]?)$', '\1 \2')
-  ELSE regexp_replace(upper(trim(flight_number)), '\s+', ' ', 'g') END"""
+_UPPER = r"regexp_replace(upper(trim(flight_number)), '\s+', ' ', 'g')"
+FLIGHT_SQL = f"CASE WHEN regexp_matches({_UPPER}, '{X.CARRIER}') THEN regexp_replace({_UPPER}, '{X.CARRIER}', '\\1 \\2') ELSE {_UPPER} END"
 
 
 @query(f"SELECT quote_id, {FLIGHT_SQL} AS flight FROM flight_quotes")
@@ -442,11 +443,21 @@ def parsed_fares(spark: SparkSession, root: str) -> DataFrame:
 
 @query(r"""SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b'), lambda x: TRY_CAST(x AS DATE))).len()::INT AS dates FROM documents WHERE text IS NOT NULL""")
 def iso_dates(spark: SparkSession, root: str) -> DataFrame:
-    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(X.DATE_FORMS[0][0]), F.lit(0)), lambda x: F.try_to_date(x, "yyyy-MM-dd")))
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"), F.lit(0)), lambda x: F.try_to_date(x, "yyyy-MM-dd")))
     return table(spark, root, "documents").where("text is not null").select("doc_id", F.size(F.array_compact(found)).alias("dates"))
 
 
-@query()
+_MONTH = "CASE left(lower({m}), 3) " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1)) + " END"
+_IS_MONTH = "regexp_matches(lower({m}), '^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sept?|september|oct(ober)?|nov(ember)?|dec(ember)?)$')"
+_FAMILY = "SELECT doc_id, unnest(regexp_extract_all(text, '{p}', {y})) AS y, unnest(regexp_extract_all(text, '{p}', {m})) AS m, unnest(regexp_extract_all(text, '{p}', {d})) AS d FROM documents WHERE text IS NOT NULL"
+_FAMILIES = "f AS (" + " UNION ALL ".join(_FAMILY.format(p=p, y=y, m=m, d=d) for p, (y, m, d) in (
+    (r"\b([0-9]{1,2})\s+([A-Za-z]{3,9}),?\s+([0-9]{4})\b", (3, 2, 1)), (r"([0-9]{1,2})-?([A-Za-z]{3,4})-?([0-9]{4})\b", (3, 2, 1)),
+    (r"\b([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\b", (3, 2, 1)), (r"\b([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})\b", (1, 2, 3)),
+)) + ")"
+
+
+@query(f"""WITH {_FAMILIES}, n AS (SELECT doc_id, y, d, CASE WHEN {_IS_MONTH.format(m="m")} THEN {_MONTH.format(m="m")} ELSE TRY_CAST(m AS INT) END AS m FROM f)
+SELECT DISTINCT doc_id, TRY_CAST(y || '-' || lpad(m::VARCHAR, 2, '0') || '-' || lpad(d, 2, '0') AS DATE) AS rendered FROM n WHERE TRY_CAST(y || '-' || lpad(m::VARCHAR, 2, '0') || '-' || lpad(d, 2, '0') AS DATE) IS NOT NULL""")
 def rendered_dates(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", F.explode(X.dates_in("text")).alias("rendered"))
 
@@ -520,11 +531,9 @@ def representative_groups(spark: SparkSession, root: str) -> DataFrame:
     return audit.representative_groups(fares(spark, root), ["fingerprint_hash", "route_id"], "run_id")
 
 
-_PHRASES = lambda c, phrases: "(" + " OR ".join(f"contains(lower({c}), '{p}')" for p in phrases) + ")"
-
-
-@query(f"""WITH t AS (SELECT result_id, page_title AS t FROM diagnostic_results UNION ALL SELECT result_id, unnest(alert_texts) FROM diagnostic_results)
-SELECT result_id, coalesce(bool_or({_PHRASES('t', X.NO_INVENTORY)}), FALSE) AS no_inventory, coalesce(bool_or({_PHRASES('t', X.TRANSIENT)}), FALSE) AS transient FROM t GROUP BY 1""")
+@query("""WITH t AS (SELECT result_id, lower(page_title) AS t FROM diagnostic_results UNION ALL SELECT result_id, lower(unnest(alert_texts)) FROM diagnostic_results)
+SELECT result_id, coalesce(bool_or(regexp_matches(t, 'no (direct )?flights (found|available)|sorry, no flights|no available flights|try the closest available date|we could(n''t| not) find any flights|no results found|no inventory available')), FALSE) AS no_inventory,
+  coalesce(bool_or(regexp_matches(t, 'timeout|net::|connection|econnre(set|fused)|target closed|(page crash|browser clos)ed|navigating to|unexpected empty result|interrupted|protocol error')), FALSE) AS transient FROM t GROUP BY 1""")
 def page_states(spark: SparkSession, root: str) -> DataFrame:
     texts = F.concat(F.array("page_title"), F.coalesce("alert_texts", F.array().cast("array<string>")))
     has = lambda phrases: F.exists(texts, lambda t: X.mentions(t, phrases))
@@ -543,7 +552,10 @@ def verified_pages(spark: SparkSession, root: str) -> DataFrame:
 FROM flight_quotes q LEFT JOIN data_sources s ON lower(s.source_name) = lower(trim(q.source)) LEFT JOIN airlines a ON upper(a.airline_name) = upper(trim(q.airline))""")
 def resolved_dimensions(spark: SparkSession, root: str) -> DataFrame:
     sources = table(spark, root, "data_sources").select(F.lower("source_name").alias("_s"), "source_code")
-    names = {r.airline_name: r.airline_code for r in bounded_rows(table(spark, root, "airlines").select("airline_name", "airline_code"), 5000)}
+    rows = bounded_rows(table(spark, root, "airlines").select("airline_name", "airline_code"), 5000)
+    if rows is None:
+        raise ValueError("the airline table must not exceed 5000 rows")
+    names = {r.airline_name: r.airline_code for r in rows}
     quotes = table(spark, root, "flight_quotes").withColumn("_s", F.lower(F.trim("source")))
     return quotes.join(broadcast_if_small(sources), "_s", "left").select("quote_id", "source_code", X.mapped("airline", names).alias("airline"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.plans import fares, series
+from quotemill.plans import collection, fares, series
 
-MODULES = (series, fares)
+MODULES = (series, fares, collection)
 
 
 def queries() -> dict:

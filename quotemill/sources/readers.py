@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.functions.text import legs, parse_clock, parse_fare
@@ -29,6 +29,11 @@ def jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, part
     return reader.load()
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
+    """Writes df to a database table, one connection per partition."""
+    df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+
+
 def json_quotes(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Quotes from JSON lines under a declared schema; what does not parse is kept in _corrupt_record."""
     return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
@@ -60,12 +65,28 @@ def quotes_of_cards(df: DataFrame, lines: str = "lines", least: float = 500) ->
     return df.select(*rest, F.array_join(legs(number), "/").alias("flight_number"), F.get(times, F.lit(0)).alias("departure_time"), F.get(times, F.lit(1)).alias("arrival_time"), F.get(fares, F.lit(0)).alias("total_fare"))
 
 
-def tier_fares(df: DataFrame, tiers: Sequence[str], lines: str = "lines", ahead: int = 5) -> DataFrame:
-    """One row per fare tier named in a card: the first fare within the `ahead` lines after its name."""
+def tier_fares(df: DataFrame, tiers: dict[str, tuple[str, str | None]], standard: str | None = None, lines: str = "lines", ahead: int = 5) -> DataFrame:
+    """One row per fare tier that a card's lines name: tier, total_fare, cabin_class, baggage.
+
+    `tiers` gives cabin and baggage by tier. A tier's fare is the first one in the `ahead` lines from the one that names it;
+    of several mentions the first with a fare counts. A card without a priced tier has its lowest fare as `standard`, if
+    that is given. Cards without a fare give no rows.
+    """
     rest = [c for c in df.columns if c != lines]
-    at = df.select(*rest, lines, F.posexplode(lines).alias("pos", "line")).where(F.upper(F.trim("line")).isin([t.upper() for t in tiers]))
-    behind = F.filter(F.transform(F.slice(F.col(lines), F.col("pos") + 2, ahead), lambda x: parse_fare(x)), lambda x: x.isNotNull())
-    return at.select(*rest, F.trim("line").alias("tier"), F.get(behind, F.lit(0)).alias("total_fare")).where("total_fare is not null")
+    fares = F.transform(F.col(lines), lambda x: parse_fare(x))
+
+    def first(tier: str) -> Column:
+        behind = lambda i: F.get(F.array_compact(F.slice("_fares", i + 1, ahead)), F.lit(0))
+        named = F.transform(F.col(lines), lambda x, i: F.when(F.contains(F.lower(x), F.lit(tier.lower())), behind(i)))
+        return F.get(F.array_compact(named), F.lit(0))
+
+    kinds = [(tier, first(tier), cabin, baggage) for tier, (cabin, baggage) in tiers.items()]
+    as_row = lambda tier, fare, cabin, baggage: F.struct(F.lit(tier).alias("tier"), fare.alias("total_fare"), F.lit(cabin).alias("cabin_class"), F.lit(baggage).cast("string").alias("baggage"))
+    priced = df.withColumn("_fares", fares).withColumn("_rows", F.filter(F.array(*[as_row(*k) for k in kinds]), lambda x: x["total_fare"].isNotNull()))
+    if standard is not None:
+        lowest = F.array(as_row(standard, F.array_min("_fares"), tiers.get(standard, ("ECONOMY", None))[0], None))
+        priced = priced.withColumn("_rows", F.when(F.size("_rows") == 0, lowest).otherwise(F.col("_rows")))
+    return priced.select(*rest, F.explode("_rows").alias("_x")).select(*rest, "_x.*").where("total_fare is not null")
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -94,7 +115,9 @@ def sheet_rows(data: bytes, sheet: int = 1) -> Iterator[list[str | None]]:
 
 
 def spreadsheet(spark: SparkSession, path: str, columns: Sequence[str], sheet: int = 1) -> DataFrame:
-    """A sheet with a header row as strings: path, row and the named columns. A missing column is an error; short rows are skipped.
+    """A sheet with a header row as strings: path, row and the named columns. A missing column is an error.
+
+    A row that ends before a wanted column has null there: workbooks leave out empty cells at the end.
 
     Workbooks are read by the executors, one per task at a time.
     """
@@ -109,7 +132,7 @@ def spreadsheet(spark: SparkSession, path: str, columns: Sequence[str], sheet: i
                 if lacking:
                     raise ValueError(f"{where} lacks the columns {lacking}")
                 at = [head.index(c) for c in columns]
-                body = [(where, n, *(r[i] for i in at)) for n, r in enumerate(rows, 2) if len(r) > max(at)]
+                body = [(where, n, *(r[i] if i < len(r) else None for i in at)) for n, r in enumerate(rows, 2)]
                 yield pd.DataFrame(body, columns=["path", "row", *columns])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, schema)

@@ -4,11 +4,13 @@ import zipfile
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quotemill.functions import numbers as N
 from quotemill.functions import text as X
-from quotemill.operators import audit, cleaning, dimensions, index, merge
+from quotemill.operators import audit, basket, cleaning, dimensions, index, merge, pairs
+from quotemill.operators import ingest as ingest_op
 from quotemill.operators.reconcile import reconcile
 from quotemill.sources import readers
 from quotemill.streaming import ingest
@@ -129,7 +131,7 @@ def test_texts(spark):
     assert table_of(spark, ["Rs. 7,890", "INR 7890.50", "₹650", "19:55", "Save 500", "0", None], X.parse_fare) == [Decimal("7890.00"), Decimal("7890.50"), Decimal("650.00"), None, None, None, None]
     assert table_of(spark, ["9:05", "19:55:00", "2026-09-15T19:55:00+05:30", "25:00", "soon"], X.parse_clock) == ["09:05", "19:55", "19:55", None, None]
     assert table_of(spark, ["Non-stop", "2 stops", "Connecting", "?"], X.parse_stops) == [0, 2, 1, None]
-    assert table_of(spark, ["on 2026-09-15 and 16 September 2026, 15/09/2026, 2026-99-99", ""], X.dates_in) == [[dt.date(2026, 9, 15), dt.date(2026, 9, 16)], []]
+    assert table_of(spark, ["on 2026-09-15 and 16 September 2026, 15/09/2026, 2026-99-99", ""], X.dates_in) == [[dt.date(2026, 9, 16), dt.date(2026, 9, 15)], []]
     assert table_of(spark, ["indigo", " Air X ", ""], lambda c: X.mapped(c, {"IndiGo": "6E"})) == ["6E", "Air X", "Unknown"]
     parts = [F.lit(v) for v in ("SpiceJet", "sg162", "del", "BOM")] + [F.lit("2026-09-15").cast("date"), F.lit("19:55"), F.lit("economy"), F.lit("SpiceSaver")]
     assert one(spark.range(1).select(X.fingerprint_text(*parts).alias("t"))).t == "SPICEJET|SG 162|DEL|BOM|2026-09-15|19:55|ECONOMY|SPICESAVER"
@@ -176,9 +178,134 @@ def test_merge_and_publish(spark, tmp_path):
     for _ in range(2):
         merge.upsert(rows((1, 1, "a"), (2, 2, "b")), path, ["k", "j"])
     merge.upsert(rows((2, 2, "z")), path, ["k", "j"])
-    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(1, 1, "a"), (2, 2, "z")}
+    assert {tuple(r) for r in merge.stored(spark, path).collect()} == {(1, 1, "a"), (2, 2, "z")}
     merge.delete_where(path, spark, "k = 1")
-    assert spark.read.parquet(path).count() == 1 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert merge.stored(spark, path).count() == 1 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_upsert_keeps_columns_and_null_keys(spark, tmp_path):
+    path = str(tmp_path / "index_daily")
+    first = spark.createDataFrame([("d1", None, "NATIONAL", 100.0, "x"), ("d1", 1, "ROUTE", 99.0, "y")], "day string, route int, level string, value double, extra string")
+    merge.upsert(first, path, ["day", "route", "level"])
+    update = spark.createDataFrame([("d1", None, "NATIONAL", 101.0), ("d2", None, "NATIONAL", 102.0)], "day string, route int, level string, value double")
+    for _ in range(2):
+        merge.upsert(update, path, ["day", "route", "level"])
+    got = {tuple(r) for r in merge.stored(spark, path).collect()}
+    assert got == {("d1", 1, "ROUTE", 99.0, "y"), ("d1", None, "NATIONAL", 101.0, None), ("d2", None, "NATIONAL", 102.0, None)}
+
+
+def test_publishing_that_fails_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    good = spark.createDataFrame([(1, "a")], "k int, v string")
+    merge.publish(good, path)
+    bad = good.withColumn("v", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        merge.publish(bad, path)
+    assert [tuple(r) for r in merge.stored(spark, path).collect()] == [(1, "a")]
+    assert merge.publish(good.withColumn("v", F.lit("b")), path) == 2 and merge.stored(spark, path).first().v == "b"
+    with pytest.raises(RuntimeError):  # made from a version that is no longer the current one
+        merge.publish(good, path, after=1)
+    (tmp_path / "t" / "_claims" / "3").write_text("")
+    with pytest.raises(RuntimeError, match="claimed"):
+        merge.publish(good, path)
+
+
+def test_only_touched_partitions_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "p")
+    rows = lambda *x: spark.createDataFrame(list(x), "day string, k int, v string")
+    merge.upsert(rows(("a", 1, "x"), ("a", 2, "x"), ("b", 1, "x")), path, ["day", "k"], ["day"])
+    before = sorted(p.name for p in (tmp_path / "p" / "day=b").iterdir())
+    for _ in range(2):
+        merge.upsert(rows(("a", 2, "y"), ("c", 1, "z")), path, ["day", "k"], ["day"])
+    assert sorted((r.day, r.k, r.v) for r in merge.stored(spark, path).collect()) == [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x"), ("c", 1, "z")]
+    assert sorted(p.name for p in (tmp_path / "p" / "day=b").iterdir()) == before
+    with pytest.raises(ValueError):
+        merge.upsert(rows(("a", 1, "x")), path, ["k"], ["day"])
+
+
+def test_pairs_within_groups_of_any_size(spark):
+    rows = [(g, i, i % 3) for g, n in ((1, 50), (2, 3), (3, 1)) for i in range(n)] + [(None, 5, 1), (None, 6, 1), (1, None, 2), (2, 0, 1)]
+    df = spark.createDataFrame(rows, "g int, id int, s int")
+    differ = F.col("a.s") != F.col("b.s")
+    want = sorted((x[0], x[1], y[1]) for x in rows for y in rows if None not in (*x, *y) and x[0] == y[0] and x[1] < y[1] and x[2] != y[2])
+    for block in (None, 1, 7, 100):
+        assert sorted(map(tuple, pairs.pairs_within(df, ["g"], "id", differ, block).select("a.g", "a.id", "b.id").collect())) == want
+    assert pairs.largest_group(df, ["g"]) == 51 and pairs.largest_group(df.limit(0), ["g"]) == 0
+
+
+def test_dense_numbers_over_several_tasks(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"))
+    got = dimensions.numbered(df, ["x"], "n").collect()
+    assert sorted((r.x, r.n) for r in got) == [(i, i + 1) for i in range(1000)]
+
+
+def test_medians_are_exact_in_cents(spark):
+    df = obs(spark, {"total_fare": Decimal("9057.99")}, {"total_fare": Decimal("9058.00")})
+    assert one(reconcile(df, "MEDIAN")).reconciled_fare == Decimal("9058.00")
+    summary = spark.createDataFrame([(dt.date(2026, 1, d), 1, 1, Decimal(f)) for d, f in ((1, "9057.99"), (2, "9058.00"))], "observation_date date, route_id int, window_id int, representative_fare decimal(10,2)")
+    assert one(index.base_fares(summary, "2026-02-01")).benchmark_fare == 9058.0
+    assert abs(one(index.base_fares(summary, "2026-02-01", 10)).benchmark_fare - 9057.995) < 1e-9
+
+
+def test_rendered_dates_of_all_families(spark):
+    texts = ["19 Sept 2026 and 1 October, 2026", "Thu-01Oct2026 19-Sep-2026", "on 1/10/2026", "2026-10-01, 2026/10/02", "31 Feb 2026, 5 Foo 2026, 2026-13-01", None, "2026-10-01 then 3 May 2026 then 2026-10-01"]
+    day = lambda *x: dt.date(*x)
+    want = [[day(2026, 9, 19), day(2026, 10, 1)], [day(2026, 10, 1), day(2026, 9, 19)], [day(2026, 10, 1)], [day(2026, 10, 1), day(2026, 10, 2)], [], None, [day(2026, 5, 3), day(2026, 10, 1)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.d for r in df.select("i", X.dates_in("t").alias("d")).orderBy("i").collect()] == want
+    shown = df.select("i", X.shows_date(F.concat("t", F.lit("")), F.lit("2026-10-01").cast("date")).alias("s"), X.shows_date(F.concat(F.lit("Sorry, no flights. "), "t"), F.lit("2026-10-01").cast("date")).alias("n"))
+    assert [r.s for r in shown.orderBy("i").collect()] == [True, True, True, True, False, False, True] and not any(r.n for r in shown.collect())
+
+
+def test_dialects(spark):
+    df = spark.createDataFrame([("Rs. 7,890 only", "2483 / 2740", "5"), ("400", "ai2483/2740", "2 stops"), (None, None, None)], "fare string, number string, stops string")
+    got = df.select(X.fare_digits("fare").alias("f"), F.array_join(X.legs("number", F.lit("ix")), "/").alias("n"), X.parse_stops("stops").alias("s")).collect()
+    assert [tuple(r) for r in got] == [(Decimal("7890.00"), "IX 2483/IX 2740", 5), (None, "AI 2483/AI 2740", 2), (None, None, None)]
+    places = spark.createDataFrame([("Delhi",), ("new delhi ",), ("Ghaziabad Hindon, Delhi",), ("Leh",), (" ",), (None,)], "p string")
+    got = places.select(X.short_code("p", {"Delhi": "DEL", "NEW DELHI": "DEL"}).alias("c"), X.airport_fits("p", ["delhi"], ["hindon"]).alias("f")).collect()
+    assert [tuple(r) for r in got] == [("DEL", True), ("DEL", True), ("GHA", False), ("LEH", False), (None, False), (None, False)]
+
+
+def test_tiers_and_the_standard_fare(spark):
+    cards = [(1, ["Xpress Lite", "Rs 4,000", "XPRESS FLEX fare", "15 kg", "Rs 6,000"]), (2, ["AI 12", "Rs 5,000", "Rs 4,500"]), (3, ["no fare"]), (4, None)]
+    df = spark.createDataFrame(cards, "id int, lines array<string>")
+    tiers = {"Xpress Lite": ("ECONOMY", "7 kg"), "Xpress Flex": ("ECONOMY", "15 kg"), "Xpress Biz": ("BUSINESS", None)}
+    got = [tuple(r) for r in readers.tier_fares(df, tiers, "Xpress Value").collect()]
+    assert got == [(1, "Xpress Lite", Decimal("4000.00"), "ECONOMY", "7 kg"), (1, "Xpress Flex", Decimal("6000.00"), "ECONOMY", "15 kg"), (2, "Xpress Value", Decimal("4500.00"), "ECONOMY", None)]
+
+
+def test_basket_sheet(spark):
+    row = ("1", "Delhi", "Mumbai", "60", "40", "100", "0.5", "0.5", "2026-07", "org", "layer")
+    sheet = lambda *rows: spark.createDataFrame([Row(**dict(zip(basket.COLUMNS, r))) for r in rows])
+    good = basket.typed_basket(sheet(row, (*row[:5], "101", *row[6:]), ("x", *row[1:])))
+    assert [r.error for r in good.collect()] == [None, "to and from are not the total", "rank is missing or no int"]
+    assert basket.require(basket.typed_basket(sheet(row))).count() == 1
+    with pytest.raises(Exception, match="not the total"):
+        basket.require(good).collect()
+    directed = spark.createDataFrame([("B", "A", 40), ("A", "B", 60), ("A", "C", 100), ("A", "A", 9)], "origin string, destination string, passengers long")
+    pairs_ = basket.weighted(basket.undirected(directed))
+    assert {tuple(r)[:5] for r in pairs_.collect()} == {("A", "B", 60, 40, 100), ("A", "C", 100, 0, 100)} and {float(r.weight) for r in pairs_.collect()} == {0.5}
+    assert one(basket.basket_checks(pairs_, 2)).passed and not one(basket.basket_checks(pairs_, 25)).passed
+    assert one(basket.basket_checks(pairs_.withColumn("passengers_to", F.lit(1)), 2)).wrong_totals == 2
+
+
+def test_ingest(spark):
+    schema = "quote_id long, run_id long, airline string, airline_id int, route_id int, flight_number string, origin string, destination string, travel_date date, departure_time string, arrival_time string, cabin_class string, fare_family string, stops int, total_fare decimal(10,2), currency string, availability boolean, observed_at timestamp"
+    base = ("SpiceJet", 1, 1, "sg-162", "DEL", "BOM", dt.date(2026, 9, 15), "19:55", "21:00", None, None, None, Decimal(7000), "INR", True, NOON)
+    names = [f.split()[0] for f in schema.split(", ")]
+    make = lambda i, run, **kw: tuple({**dict(zip(names, (i, run, *base))), **kw}[n] for n in names)
+    rows = [make(1, 7, total_fare=None), make(2, 7), make(3, 7, total_fare=Decimal(9)), make(4, 7, airline_id=None), make(5, 8), make(6, 9), make(7, 7, flight_number="SG 163")]
+    quotes = spark.createDataFrame(rows, schema)
+    announced = spark.createDataFrame([(7, 2, 0, "RUNNING"), (8, 3, 4, "RUNNING"), (6, 1, 5, "COMPLETED")], "run_id long, source_id int, records_scraped long, status string")
+    none = spark.createDataFrame([], "run_id long, data_source_id int, fingerprint_hash string")
+    out = {r.quote_id: r for r in ingest_op.ingest(quotes, announced, none).collect()}
+    assert {i: (r.outcome, r.error) for i, r in out.items()} == {1: ("FAILED", "total_fare"), 2: ("INSERTED", None), 3: ("SKIPPED", None), 4: ("FAILED", "airline"), 5: ("INSERTED", None), 6: ("FAILED", "run"), 7: ("INSERTED", None)}
+    assert (out[2].data_source_id, out[2].flight_number, out[2].cabin_class, out[2].is_non_stop, out[2].base_fare) == (2, "SG 162", "ECONOMY", True, None)
+    again = ingest_op.ingest(quotes, announced, spark.createDataFrame([(7, 2, out[2].fingerprint_hash)], none.schema))
+    counts = ingest_op.ingest_counts(again)
+    assert {tuple(r) for r in counts.collect()} == {(7, 5, 1, 2, 2, "COMPLETED"), (8, 1, 1, 0, 0, "COMPLETED"), (9, 1, 0, 0, 1, "FAILED")}
+    done = {r.run_id: (r.records_scraped, r.status) for r in ingest_op.closed(announced, counts).collect()}
+    assert done == {7: (1, "COMPLETED"), 8: (5, "COMPLETED"), 6: (5, "COMPLETED")}
 
 
 def workbook(rows):
@@ -208,7 +335,8 @@ def test_payloads_cards_and_tiers(spark, tmp_path):
     cards = spark.createDataFrame([(1, ["Air X", "AI 2483 / AI 2740", "10:00", "DEL", "12:05", "Rs 5,500"]), (2, [])], "id int, lines array<string>")
     assert [tuple(r) for r in readers.quotes_of_cards(cards).collect()] == [(1, "AI 2483/AI 2740", "10:00", "12:05", Decimal("5500.00")), (2, None, None, None, None)]
     tiers = spark.createDataFrame([(1, ["Lite", "7 kg", "Rs 4,000", "Flex", "15 kg", "20 kg", "Rs 6,000", "Max"])], "id int, lines array<string>")
-    assert [tuple(r) for r in readers.tier_fares(tiers, ["LITE", "FLEX", "MAX"]).collect()] == [(1, "Lite", Decimal("4000.00")), (1, "Flex", Decimal("6000.00"))]
+    kinds = {"Lite": ("ECONOMY", None), "Flex": ("ECONOMY", None), "Max": ("ECONOMY", None)}
+    assert [tuple(r)[:3] for r in readers.tier_fares(tiers, kinds).collect()] == [(1, "Lite", Decimal("4000.00")), (1, "Flex", Decimal("6000.00"))]
     path = str(tmp_path / "done")
     tasks = spark.createDataFrame([(1, 1), (1, 2)], "route_id int, window_id int")
     readers.append_tasks(tasks.limit(1), path)
@@ -223,7 +351,7 @@ def test_streams(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         stream = ingest.distinct_readings(ingest.file_stream(spark, str(tmp_path / "in"), schema), "at", ["k"])
         ingest.publish_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"), ["k"]).awaitTermination()
-    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+    assert sorted(r.k for r in merge.stored(spark, str(tmp_path / "out")).collect()) == ["a", "b"]
     counts = ingest.windowed_counts(ingest.file_stream(spark, str(tmp_path / "in"), schema), "at", ["k"])
     q = counts.writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination()
