@@ -37,6 +37,7 @@ class Rule:
     minutes: int | None = None  #: the departure time may be off by so many minutes; None: it does not count
     arrival: bool = False  #: the arrival time must be equal
     nameless: bool = False  #: only for quotes whose airline is unknown
+    other: bool = False  #: the number may be any other
 
 
 #: The passes: each is one exact join on its keys (with route and day), then its rules from strong to weak. What a pass
@@ -51,7 +52,7 @@ PASSES = (
     ("dep", (Rule("near number, time", number="near", minutes=0, arrival=True), Rule("time, arrival", number="none", minutes=0, arrival=True))),
 )
 #: For flights that only one source prints: their number may be a misprint.
-MISPRINTS = (*PASSES[1][1][:2], Rule("other number, carrier, time, arrival", minutes=0, arrival=True))
+MISPRINTS = (*PASSES[1][1][:2], Rule("other number, carrier, time, arrival", minutes=0, arrival=True, other=True))
 
 
 def minutes_of(c: Column) -> Column:
@@ -142,8 +143,13 @@ def flights(strong: DataFrame) -> DataFrame:
     return facts.join(sizes, "flight")
 
 
+def _mistakes(rule: Rule) -> bool:
+    """Whether a rule takes a number for a misprint: where it resolves a labelled quote, whose number is right, it is wrong."""
+    return rule.other or rule.number == "near"
+
+
 def _fits(rule: Rule, labelled: bool) -> Column:
-    fits = F.lit(True)
+    fits = (F.col("their_sources") > 1) & (F.col("flight") != F.col("own")) if labelled and _mistakes(rule) else F.lit(True)
     if rule.carrier:
         fits = fits & (F.col("name") == F.col("their_carrier"))
     if rule.number == "near":
@@ -154,7 +160,7 @@ def _fits(rule: Rule, labelled: bool) -> Column:
         fits = fits & F.col("name").isNull()
     if rule.minutes is not None:
         fits = fits & (F.abs(F.col("dep") - F.col("their_dep")) <= rule.minutes)
-        if labelled:  # a time that only the quote's own source gives proves nothing
+        if labelled and not _mistakes(rule):  # a time that only the quote's own source gives proves nothing
             fits = fits & ((F.col("time_sources") > 1) | (F.col("a_source") != F.col("source")))
     if rule.arrival:
         fits = fits & (F.col("arr") == F.col("their_arr"))
@@ -169,7 +175,7 @@ def candidates(rows: DataFrame, known: DataFrame, key: str, rules: Sequence[Rule
     """
     side = F.coalesce("code", "name") if key == "carrier" else F.col(key)
     left = rows.select("id", "source", "own", "o", "d", "day", "name", "number", "dep", "arr", side.alias("key")).where("key is not null and o is not null and d is not null and day is not null")
-    right = known.select("o", "d", "day", F.col(key).alias("key"), "flight", F.col("carrier").alias("their_carrier"), F.col("number").alias("their_number"), F.col("dep").alias("their_dep"), F.col("arr").alias("their_arr"), "time_sources", "a_source")
+    right = known.select("o", "d", "day", F.col(key).alias("key"), "flight", F.col("carrier").alias("their_carrier"), F.col("number").alias("their_number"), F.col("dep").alias("their_dep"), F.col("arr").alias("their_arr"), "time_sources", "a_source", F.col("sources").alias("their_sources"))
     met = left.join(right, ["o", "d", "day", "key"])
     if not labelled:
         met = met.where("own is null or flight <> own")
@@ -199,25 +205,30 @@ def _one_name(single: DataFrame, lone: DataFrame) -> DataFrame:
     return first.join(again, "flight").select("own", F.col("name").alias("flight"))
 
 
-def _precisions(labelled: DataFrame, single: DataFrame, known: DataFrame, confirmed: DataFrame, smoothing: float) -> dict[str, float]:
+def _precisions(strong: DataFrame, known: DataFrame, smoothing: float) -> dict[str, float]:
     """By rule: (right + s) / (n + 2 s) over labelled quotes. A row of counts comes to the driver per pass.
 
     printed: the airline's name means the printed carrier; printed once: the same among the flights of one source, as
     none of them is labelled; named: the number and the name, with the printed carrier hidden, name the quote's own flight.
+    A rule for misprints is wrong where it takes a labelled quote for another flight that several sources quote.
     """
     smooth = lambda right, n: ((right or 0) + smoothing) / (n + 2 * smoothing)
-    named = (F.count_if(F.col("name") == F.col("code")).alias("r"), F.count_if(flight_key("name") == F.col("own")).alias("k"), F.count("*").alias("n"))
-    agree, alone = (rows.where("name is not null").agg(*named).first() for rows in (labelled, single))
-    out = {"printed": smooth(agree.r, agree.n), "named": smooth(agree.k, agree.n), "printed once": smooth(alone.r, alone.n)}
+    label, name = F.col("sources") > 1, F.col("name").isNotNull()
+    agree = F.col("name") == F.col("code")
+    c = strong.agg(
+        F.count_if(label).alias("total"), F.count_if(label & name).alias("n"), F.count_if(label & agree).alias("r"), F.count_if(label & (flight_key("name") == F.col("own")) & name).alias("k"),
+        F.count_if(~label & name).alias("n1"), F.count_if(~label & agree).alias("r1"),
+    ).first()
+    out = {"printed": smooth(c.r, c.n), "named": smooth(c.k, c.n), "printed once": smooth(c.r1, c.n1)}
+    labelled = strong.where(label)
+    own = labelled.select("id", "own")
     for key, rules in PASSES:
-        test = candidates(labelled, known, key, rules, labelled=True).join(labelled.select("id", "own"), "id")
+        rules = (*rules, *(r for r in MISPRINTS if r.other and key == "carrier"))
+        test = candidates(labelled, known, key, rules, labelled=True).join(own, "id")
         counts = test.agg(*[f.alias(f"{n}{i}") for i in range(len(rules)) for f, n in ((F.count_if(F.col(f"f{i}") == F.col("own")), "r"), (F.count(f"f{i}"), "n"))]).first()
-        out |= {r.name: smooth(counts[f"r{i}"], counts[f"n{i}"]) for i, r in enumerate(rules) if r.number != "near"}
-    # the number of a labelled quote is right: another confirmed flight that a rule would have taken it for is a mistake
-    total = labelled.count()
-    for key, rules in (("carrier", MISPRINTS), ("dep", tuple(r for r in PASSES[2][1] if r.number == "near"))):
-        mistaken = candidates(labelled, confirmed, key, rules).agg(*[F.count(f"f{i}").alias(f"w{i}") for i in range(len(rules))]).first()
-        out |= {r.name: smooth(total - mistaken[f"w{i}"], total) for i, r in enumerate(rules)}
+        for i, rule in enumerate(rules):
+            right, n = (c.total - counts[f"n{i}"], c.total) if _mistakes(rule) else (counts[f"r{i}"], counts[f"n{i}"])
+            out[rule.name] = smooth(right, n)
     return out
 
 
@@ -258,7 +269,7 @@ def match_quotes(quotes: DataFrame, airlines: DataFrame, smoothing: float = 1.0)
     done.append(named.withColumns({"flight": flight_key("name"), "rule": F.lit("named")}))
 
     out = reduce(DataFrame.unionByName, (d.select(F.col("id").alias("quote_id"), "source", "flight", "rule") for d in done))
-    precision = _precisions(labelled, strong.where("sources = 1"), known, confirmed, smoothing)
+    precision = _precisions(strong, known, smoothing)
     return out.withColumn("confidence", F.element_at(F.create_map(*[F.lit(x) for pair in precision.items() for x in pair]), F.col("rule")))
 
 
