@@ -243,6 +243,34 @@ steps AS (
 SELECT 'departure' AS field, old, new, count(*) AS n FROM steps WHERE old <> new GROUP BY ALL
 """
 
+P8_FOUND_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
+_WINDOWS = """
+WITH long AS (SELECT text, min(doc_id) AS d, count(DISTINCT doc_id) AS n FROM documents WHERE length(text) >= 400 GROUP BY text),
+win AS (SELECT d, unnest(range(1, length(text) - 398)) AS k, unnest(list_transform(range(1, length(text) - 398), lambda k: md5(substr(text, k, 400)))) AS h FROM long),
+hot AS (SELECT h FROM win GROUP BY h HAVING count(DISTINCT d) > 1), shared AS (SELECT d, k, h FROM win SEMI JOIN hot USING (h))
+"""
+
+P9_FOUND_SQL = _WINDOWS + """, own AS (SELECT DISTINCT d, h FROM shared)
+SELECT DISTINCT a.d AS doc_id_a, b.d AS doc_id_b FROM own a JOIN own b ON a.h = b.h AND a.d < b.d
+UNION SELECT l.d, x.doc_id FROM long l JOIN documents x ON x.text = l.text AND x.doc_id <> l.d
+"""
+
+P9_SHARE_SQL = _WINDOWS + """,
+steps AS (SELECT d, k, lag(k) OVER (PARTITION BY d ORDER BY k) AS p FROM shared),
+held AS (SELECT d, sum(least(400, coalesce(k - p, 400)))::BIGINT AS covered, count(*) FILTER (WHERE p IS NULL OR k > p + 400) AS spans FROM steps GROUP BY d),
+found AS (
+  SELECT x.doc_id, coalesce(length(x.text), 0)::INT AS chars, coalesce(l.n - 1, 0)::BIGINT AS copies, coalesce(h.spans, 0)::BIGINT AS spans, CASE WHEN l.n > 1 THEN length(x.text) ELSE coalesce(h.covered, 0) END::BIGINT AS shared
+  FROM documents x LEFT JOIN long l ON l.text = x.text LEFT JOIN held h ON h.d = l.d)
+SELECT *, CASE WHEN chars > 0 THEN shared / chars ELSE 0.0 END::DOUBLE AS share FROM found
+"""
+
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_flights": p1_flights,
     "p4_found": p4_found, "p4_golden": p4_golden, "p4_undated": p4_undated, "p4_precedence": p4_precedence,
@@ -252,4 +280,4 @@ QUERIES = {
     "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_edited": p8_edited,
     "p9_found": p9_found, "p9_classes": p9_classes, "p9_share": p9_share,
 }
-SQL = {"p4_found": P4_FOUND_SQL, "p4_golden": P4_GOLDEN_SQL, "p4_undated": P4_UNDATED_SQL, "p4_precedence": P4_PRECEDENCE_SQL, "p5_certified": P5_CERTIFIED_SQL, "p5_by_flight": P5_BY_FLIGHT_SQL, "p7_documents": P7_DOCUMENTS_SQL}
+SQL = {"p4_found": P4_FOUND_SQL, "p4_golden": P4_GOLDEN_SQL, "p4_undated": P4_UNDATED_SQL, "p4_precedence": P4_PRECEDENCE_SQL, "p5_certified": P5_CERTIFIED_SQL, "p5_by_flight": P5_BY_FLIGHT_SQL, "p7_documents": P7_DOCUMENTS_SQL, "p8_found": P8_FOUND_SQL, "p9_found": P9_FOUND_SQL, "p9_share": P9_SHARE_SQL}
