@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from quotemill.runtime import broadcast_if_small, checkpoint
 
 COMPRESSION = 400  #: a centroid in the middle holds at most 2 pi / 800 = 0.8 % of the values
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
 def size_function(q: Column, compression: int) -> Column:
@@ -95,7 +96,7 @@ def percentile(q: float) -> Column:
 
 
 def certified_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99),
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = QUANTILES,
     part: Column | None = None, bound: float = 0.01, compression: int = COMPRESSION,
 ) -> DataFrame:
     """keys + (quantile, value, n, rank_error, certified): percentiles with the error that a second pass counted.
@@ -127,3 +128,28 @@ def certified_percentiles(
     highest = F.when(F.col("le") > F.col("lt"), F.col("le")).otherwise(F.least(F.col("lt") + 1, F.col("n")))
     error = F.greatest(lowest - rank, rank - highest, F.lit(0)) / F.col("n")
     return out.select(*keys, "quantile", "value", "n", error.alias("rank_error"), (error <= bound).alias("certified"))
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """keys + (quantile, value, n): the values of rank ceil(q n) themselves, of groups of any size.
+
+    Equal values are counted together and sorted in ranges of (keys, value). The ranges' sums tell which range holds a
+    wanted rank, and only those ranges are counted through, so that no task sorts a hot group. Nulls, NaN, null keys,
+    ties, empty tables and extra columns as in certified_percentiles.
+    """
+    safe = [f"_g{i}" for i in range(len(keys))]
+    values = df.select(*[F.col(k).alias(s) for k, s in zip(keys, safe)], F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counted = values.groupBy(*safe, "_v").agg(F.count("*").alias("_c"))
+    ordered = checkpoint(counted.repartitionByRange(*safe, "_v").withColumn("_range", F.spark_partition_id()))
+    ranges = ordered.groupBy(*safe, "_range").agg(F.sum("_c").alias("_m"))
+    so_far = Window.partitionBy(*safe).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranges.withColumn("_upto", F.sum("_m").over(so_far)).withColumn("n", F.sum("_m").over(Window.partitionBy(*safe)))
+    each = F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.greatest(F.ceil(F.lit(float(q)) * F.col("n")), F.lit(1)).alias("rank")) for q in quantiles])
+    held = placed.withColumn("_want", F.filter(each, lambda x: (x["rank"] > F.col("_upto") - F.col("_m")) & (x["rank"] <= F.col("_upto")))).where(F.size("_want") > 0)
+    tests = [F.col(f"ordered.{s}").eqNullSafe(F.col(f"held.{s}")) for s in safe]
+    joined = ordered.alias("ordered").join(held.alias("held"), [*tests, F.col("ordered._range") == F.col("held._range")])
+    within = Window.partitionBy(*safe, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = joined.select(*[f"ordered.{s}" for s in safe], "ordered._range", "_v", "_c", "n", "_want", (F.col("_upto") - F.col("_m")).alias("_before"))
+    counts = counts.withColumn("_le", F.col("_before") + F.sum("_c").over(within))
+    hit = F.filter("_want", lambda x: (x["rank"] > F.col("_le") - F.col("_c")) & (x["rank"] <= F.col("_le")))
+    return counts.select(*[F.col(s).alias(k) for s, k in zip(safe, keys)], "n", "_v", F.explode(hit).alias("_x")).select(*keys, F.col("_x.quantile").alias("quantile"), F.col("_v").alias("value"), "n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,11 +61,17 @@ def p5_certified(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_by_flight(spark: SparkSession, root: str) -> DataFrame:
-    """Percentiles of each flight on its route and window: groups so small that the digests, merged over days, are exact."""
+    """Percentiles of each flight on its route and window: of up to 600 fares by digests, which are exact then, of more by exact ranks."""
     fares = table(spark, root, "fare_observations").withColumn("flight", F.upper(F.trim("flight_number")))
     keys = ["route_id", "window_id", "airline_id", "flight"]
-    out = digests.certified_percentiles(fares, keys, "total_fare", part=F.to_date("observed_at"), compression=2000)
-    return out.where("n <= 600").select(*keys, "quantile", "value", "n", "rank_error")
+    more = fares.groupBy(*keys).agg(F.count("total_fare").alias("n")).where("n > 600").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    small, large = fares, None
+    if not more.isEmpty():
+        same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+        small, large = fares.join(more, same, "left_anti"), fares.join(more, same, "left_semi")
+    out = digests.certified_percentiles(small, keys, "total_fare", part=F.to_date("observed_at"), compression=2000)
+    out = out.select(*keys, "quantile", "value", "n", "rank_error")
+    return out if large is None else out.unionByName(digests.exact_percentiles(large, keys, "total_fare").withColumn("rank_error", F.lit(0.0)))
 
 
 P5_BY_FLIGHT_SQL = """
