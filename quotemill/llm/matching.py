@@ -11,6 +11,7 @@ confidence is the product of its two quotes' precisions, smoothed.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -95,15 +96,16 @@ def carrier_of_name(names: DataFrame, airlines: list) -> DataFrame:
     clean = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
     full, short = clean(F.col("airline")), clean(F.regexp_replace(F.lower("airline"), COMPANY, ""))
 
-    def distance(known: Column) -> Column:
-        a, b = clean(known), clean(F.regexp_replace(F.lower(known), COMPANY, ""))
-        more = F.length(full) - F.length(a)
-        part = F.when((F.length(full) >= 4) & a.startswith(full), -0.25 * more).when(full.startswith(a), 0.5 * more)
-        return F.least(F.levenshtein(full, a).cast("double"), F.levenshtein(short, b) + 0.1, part)
+    def distance(known: str) -> Column:
+        # in Python: lower() of a literal is folded on the driver, which costs it all the tables of Spark's collations
+        a, b = (re.sub("[^a-z]", "", x) for x in (known.lower(), re.sub(COMPANY, "", known.lower())))
+        more = F.length(full) - len(a)
+        part = F.when((F.length(full) >= 4) & F.lit(a).startswith(full), -0.25 * more).when(full.startswith(F.lit(a)), 0.5 * more)
+        return F.least(F.levenshtein(full, F.lit(a)).cast("double"), F.levenshtein(short, F.lit(b)) + 0.1, part)
 
     if not airlines:
         return names.select("airline", F.lit(None).cast("string").alias("name"))
-    scored = F.array_sort(F.array(*[F.struct(distance(F.lit(r.airline_name)).alias("d"), F.lit(r.airline_code).alias("code"), F.lit(len(r.airline_name)).alias("n")) for r in airlines]))
+    scored = F.array_sort(F.array(*[F.struct(distance(r.airline_name).alias("d"), F.lit(r.airline_code).alias("code"), F.lit(len(r.airline_name)).alias("n")) for r in airlines]))
     best, second = F.get(scored, F.lit(0)), F.get(scored, F.lit(1))
     exact = F.upper(F.trim("airline"))
     near = (F.length(full) >= 3) & (best["d"] <= 0.34 * best["n"]) & (second.isNull() | (second["d"] - best["d"] >= 0.5))
@@ -136,10 +138,10 @@ def near(a: Column, b: Column) -> Column:
 
 def flights(strong: DataFrame) -> DataFrame:
     """The flights that quotes with a printed carrier name, by the times they give: flight, carrier, ..., sources."""
-    facts = strong.groupBy(flight_key("code").alias("flight"), F.col("code").alias("carrier"), "number", "o", "d", "day", "dep", "arr").agg(
-        F.count_distinct("source").alias("time_sources"), F.min("source").alias("a_source")
-    )
-    sizes = strong.groupBy(flight_key("code").alias("flight")).agg(F.count_distinct("source").alias("sources"))
+    given = strong.select(flight_key("code").alias("flight"), F.col("code").alias("carrier"), "number", "o", "d", "day", "dep", "arr", "source").distinct()
+    given = given.repartition("flight")  # both aggregations and their join keep it
+    facts = given.groupBy("flight", "carrier", "number", "o", "d", "day", "dep", "arr").agg(F.count_distinct("source").alias("time_sources"), F.min("source").alias("a_source"))
+    sizes = given.groupBy("flight").agg(F.count_distinct("source").alias("sources"))
     return facts.join(sizes, "flight")
 
 
@@ -167,29 +169,34 @@ def _fits(rule: Rule, labelled: bool) -> Column:
     return F.coalesce(fits, F.lit(False))
 
 
-def candidates(rows: DataFrame, known: DataFrame, key: str, rules: Sequence[Rule], labelled: bool = False) -> DataFrame:
-    """(id, f0, f1, ...): for every rule of a pass the flight it resolves a quote to, null if none or several fit.
+def candidates(rows: DataFrame, known: DataFrame, key: str, rules: Sequence[Rule], tested: Sequence[Rule] = ()) -> DataFrame:
+    """(id, test, f0, f1, ...): for every rule of a pass the flight it resolves a quote to, null if none or several fit.
 
     One exact join on route, day and the pass's key; a quote meets the flights of its key, each with its times, never
-    other quotes. A flight is not resolved to itself unless the rule is only being tested (labelled).
+    other quotes. A flight is not resolved to itself unless the rule is only being tested, on labelled quotes (test);
+    the rules in `tested` are only tested.
     """
     side = F.coalesce("code", "name") if key == "carrier" else F.col(key)
-    left = rows.select("id", "source", "own", "o", "d", "day", "name", "number", "dep", "arr", side.alias("key")).where("key is not null and o is not null and d is not null and day is not null")
+    left = rows.select("id", "test", "source", "own", "o", "d", "day", "name", "number", "dep", "arr", side.alias("key")).where("key is not null and o is not null and d is not null and day is not null")
     right = known.select("o", "d", "day", F.col(key).alias("key"), "flight", F.col("carrier").alias("their_carrier"), F.col("number").alias("their_number"), F.col("dep").alias("their_dep"), F.col("arr").alias("their_arr"), "time_sources", "a_source", F.col("sources").alias("their_sources"))
-    met = left.join(right, ["o", "d", "day", "key"])
-    if not labelled:
-        met = met.where("own is null or flight <> own")
-    fits = met.select("id", "flight", *[_fits(r, labelled).alias(f"r{i}") for i, r in enumerate(rules)]).where(reduce(lambda x, y: x | y, (F.col(f"r{i}") for i in range(len(rules)))))
-    ends = fits.groupBy("id").agg(*[f(F.when(F.col(f"r{i}"), F.col("flight"))).alias(f"{n}{i}") for i in range(len(rules)) for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    return ends.select("id", *[F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).alias(f"f{i}") for i in range(len(rules))])
+    met = left.join(right, ["o", "d", "day", "key"]).where("test or own is null or flight <> own")
+    each = [*(F.when(F.col("test"), _fits(r, True)).otherwise(_fits(r, False)) for r in rules), *(F.col("test") & _fits(r, True) for r in tested)]
+    fits = met.select("id", "test", "flight", *[c.alias(f"r{i}") for i, c in enumerate(each)]).where(reduce(lambda x, y: x | y, (F.col(f"r{i}") for i in range(len(each)))))
+    ends = fits.groupBy("id", "test").agg(*[f(F.when(F.col(f"r{i}"), F.col("flight"))).alias(f"{n}{i}") for i in range(len(each)) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    return ends.select("id", "test", *[F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).alias(f"f{i}") for i in range(len(each))])
 
 
-def resolve(rows: DataFrame, known: DataFrame, key: str, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
-    """The rows that a pass resolves, with flight and rule, and the rows that remain; written once."""
-    found = candidates(rows, known, key, rules)
+def resolve(rows: DataFrame, known: DataFrame, key: str, rules: Sequence[Rule], tested: Sequence[Rule] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows that a pass resolves, with flight and rule, the rows that remain, and (resolved, right) of each labelled row: a bit a rule; written once."""
+    found = candidates(rows, known, key, rules, tested)
     first = F.coalesce(*[F.when(F.col(f"f{i}").isNotNull(), F.struct(F.col(f"f{i}").alias("flight"), F.lit(r.name).alias("rule"))) for i, r in enumerate(rules)])
-    tagged = checkpoint(rows.join(found.select("id", first.alias("x")), "id", "left").select(*rows.columns, "x.flight", "x.rule"))
-    return tagged.where("flight is not null"), tagged.where("flight is null").drop("flight", "rule")
+    bits = [sum(((F.coalesce(c, F.lit(False))).cast("int") * (1 << i) for i, c in enumerate(each)), F.lit(0)) for each in (
+        [F.col(f"f{i}").isNotNull() for i in range(len(rules) + len(tested))], [F.col(f"f{i}") == F.col("own") for i in range(len(rules) + len(tested))]
+    )]
+    joined = rows.join(found, ["id", "test"], "left").select(*rows.columns, first.alias("x"), bits[0].alias("resolved"), bits[1].alias("right"))
+    tagged = checkpoint(joined.select(*rows.columns, "x.flight", "x.rule", "resolved", "right"))
+    mine = tagged.where("not test").drop("resolved", "right")
+    return mine.where("flight is not null"), mine.where("flight is null").drop("flight", "rule"), tagged.where("test").select("resolved", "right")
 
 
 def _one_name(single: DataFrame, lone: DataFrame) -> DataFrame:
@@ -205,8 +212,8 @@ def _one_name(single: DataFrame, lone: DataFrame) -> DataFrame:
     return first.join(again, "flight").select("own", F.col("name").alias("flight"))
 
 
-def _precisions(strong: DataFrame, known: DataFrame, smoothing: float) -> dict[str, float]:
-    """By rule: (right + s) / (n + 2 s) over labelled quotes. A row of counts comes to the driver per pass.
+def _precisions(strong: DataFrame, tests: Sequence[tuple[Sequence[Rule], DataFrame]], smoothing: float) -> dict[str, float]:
+    """By rule: (right + s) / (n + 2 s) over labelled quotes. tests: the rules of a pass, and what they resolve. A row of counts comes to the driver per pass.
 
     printed: the airline's name means the printed carrier; printed once: the same among the flights of one source, as
     none of them is labelled; named: the number and the name, with the printed carrier hidden, name the quote's own flight.
@@ -220,14 +227,15 @@ def _precisions(strong: DataFrame, known: DataFrame, smoothing: float) -> dict[s
         F.count_if(~label & name).alias("n1"), F.count_if(~label & agree).alias("r1"),
     ).first()
     out = {"printed": smooth(c.r, c.n), "named": smooth(c.k, c.n), "printed once": smooth(c.r1, c.n1)}
-    labelled = strong.where(label)
-    own = labelled.select("id", "own")
-    for key, rules in PASSES:
-        rules = (*rules, *(r for r in MISPRINTS if r.other and key == "carrier"))
-        test = candidates(labelled, known, key, rules, labelled=True).join(own, "id")
-        counts = test.agg(*[f.alias(f"{n}{i}") for i in range(len(rules)) for f, n in ((F.count_if(F.col(f"f{i}") == F.col("own")), "r"), (F.count(f"f{i}"), "n"))]).first()
+    most = max(len(rules) for rules, _ in tests)
+    bits = reduce(DataFrame.unionByName, (rows.select(F.lit(p).alias("pass"), "resolved", "right") for p, (_, rows) in enumerate(tests)))
+    sums = [F.count_if(F.getbit(F.col(side), F.lit(i)) == 1).alias(f"{n}{i}") for i in range(most) for side, n in (("right", "r"), ("resolved", "n"))]
+    counts = {row["pass"]: row for row in bits.groupBy("pass").agg(*sums).collect()}
+    for p, (rules, _) in enumerate(tests):
         for i, rule in enumerate(rules):
-            right, n = (c.total - counts[f"n{i}"], c.total) if _mistakes(rule) else (counts[f"r{i}"], counts[f"n{i}"])
+            right, n = (counts[p][f"r{i}"], counts[p][f"n{i}"]) if p in counts else (0, 0)
+            if _mistakes(rule):
+                right, n = c.total - n, c.total
             out[rule.name] = smooth(right, n)
     return out
 
@@ -248,28 +256,30 @@ def match_quotes(quotes: DataFrame, airlines: DataFrame, smoothing: float = 1.0)
     known = checkpoint(flights(rows.where(printed)))
     confirmed = known.where("sources > 1")
     sizes = known.groupBy(F.col("flight").alias("own")).agg(F.first("sources").alias("sources"))
-    strong = checkpoint(rows.where(printed).withColumn("own", flight_key("code")).join(sizes, "own"))
-    labelled = strong.where("sources > 1")
+    strong = checkpoint(rows.where(printed).withColumn("own", flight_key("code")).join(sizes, "own").withColumn("test", F.col("sources") > 1))
+    labelled = strong.where("test")
     done = [labelled.select("id", "source", F.col("own").alias("flight"), F.lit("printed").alias("rule"))]
 
     # flights of one source: misprints of confirmed flights, then of each other
-    fixed, single = resolve(strong.where("sources = 1"), confirmed, "carrier", MISPRINTS)
+    fixed, single, _ = resolve(strong.where("sources = 1"), confirmed, "carrier", MISPRINTS)
     lone = known.join(single.select(F.col("own").alias("flight")).distinct(), "flight", "left_semi")
     names = checkpoint(_one_name(single, lone))
     done += [fixed, single.join(names, "own").withColumn("rule", F.lit("printed once"))]
     known = checkpoint(confirmed.unionByName(lone.withColumnRenamed("flight", "own").join(names, "own").drop("own")))
 
     # quotes without a printed carrier or number
-    left = rows.where(~printed).withColumn("own", F.lit(None).cast("string"))
-    for key, rules in PASSES:
-        found, left = resolve(left, known, key, rules)
+    left, tests = rows.where(~printed).withColumns({"own": F.lit(None).cast("string"), "test": F.lit(False)}), []
+    for key, rules in PASSES:  # the rules are tested on the labelled quotes in the same join
+        tested = [r for r in MISPRINTS if r.other and key == "carrier"]
+        found, left, test = resolve(left.unionByName(labelled.select(left.columns)), known, key, rules, tested)
         done.append(found)
+        tests.append(((*rules, *tested), test))
     # what is left names its own flight by the airline and a number
     named = left.where("name is not null and number is not null and o is not null and d is not null and day is not null")
     done.append(named.withColumns({"flight": flight_key("name"), "rule": F.lit("named")}))
 
-    out = reduce(DataFrame.unionByName, (d.select(F.col("id").alias("quote_id"), "source", "flight", "rule") for d in done))
-    precision = _precisions(strong, known, smoothing)
+    out = checkpoint(reduce(DataFrame.unionByName, (d.select(F.col("id").alias("quote_id"), "source", "flight", "rule") for d in done)))
+    precision = _precisions(strong, tests, smoothing)
     return out.withColumn("confidence", F.element_at(F.create_map(*[F.lit(x) for pair in precision.items() for x in pair]), F.col("rule")))
 
 

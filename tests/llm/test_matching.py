@@ -87,3 +87,18 @@ def test_every_rule_has_a_measured_precision(spark):
 def test_empty(spark):
     assert pairs(spark, []) == {}
     assert match_quotes(spark.createDataFrame([quote(1, "x", "M4 1")], SCHEMA), airlines(spark).limit(0)).collect() == []
+
+
+def test_few_jobs_and_no_folded_names(spark):
+    """The driver's memory follows the plans: every rule is tested in the join of its pass, and names are cleaned before the plan."""
+    known = airlines(spark).collect()
+    plan = carrier_of_name(spark.createDataFrame([("M4",)], "airline string"), known)._jdf.queryExecution().analyzed().toString()
+    assert not any(f"lower({name}" in plan for _, name in AIRLINES)
+    rows = [quote(i, "Marigold Air" if i % 4 else "Teak", f"M4 {100 + i // 2}" if i % 5 else str(100 + i // 2), f"{i // 2 % 24:02d}:00", f"{(i // 2 + 2) % 24:02d}:00", source="ab"[i % 2]) for i in range(40)]
+    spark.sparkContext.setJobGroup("matching", "matching")
+    try:
+        assert pairs(spark, rows)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("matching"))
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert jobs <= 88  # 81; a test of the rules on their own took 96
